@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values (look-alike letters of the Unicode confusables data, as far as Latin text meets them).
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏ"
@@ -47,7 +48,7 @@ def fold_forms(c: Column) -> Column:
     return F.regexp_replace(x, "^ +| +$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(texts: pd.Series) -> pd.Series:
     """Canonical composition; ligatures and halfwidth voicing marks included."""
     marks = str.maketrans({"\uff9e": "\u3099", "\uff9f": "\u309a", **_LIGATURES})

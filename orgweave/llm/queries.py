@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.functions.ids import bare_id
-from orgweave.llm import consensus, lookalike, quota
+from orgweave.llm import consensus, leakage, lookalike, mixing, quota
 from orgweave.session import table
 
 
@@ -63,8 +63,28 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "stratum string, sub_stratum string, target bigint, floor bigint, drawn bigint, shortfall bigint")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "eval_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked test item: documents that hold it and the longest passage in words."""
+    leaks = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leaks.groupBy("eval_id").agg(F.count("*").alias("docs"), F.max("matched").alias("longest"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    used, _ = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weight"))
+    return used
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weight"))
+    return report
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p5_found, p5_sample, p5_report)}
+    return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p5_found, p5_sample, p5_report, p8_found, p8_items, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
