@@ -67,43 +67,64 @@ def goals(weights: DataFrame, bound: int = 100_000) -> list[Goal]:
     return sorted(seen.values(), key=lambda g: g.source)
 
 
-def balance(counted: DataFrame, wanted: list[Goal], total: float | None = None, rounds: int = 40, tolerance: float = 1e-9) -> dict[str, float]:
-    """Rate per source by Newton steps on the dual.
-
-    ``counted`` (doc_id, source, tokens).  The moments are token sums per source, one small
-    aggregation per step over rates exp(lambda_s), capped at the source's repeats.  Without
-    ``total`` the mix is as large as the listed sources.  Sources without tokens or share
-    have no rate.  What capped sources cannot give is spread over the rest in proportion.
+def _moments(counted: DataFrame, dual: dict[str, tuple[float, float, float]]) -> dict[str, tuple[float, ...]]:
+    """Sums over documents of r, r x and r x^2 per source, r = exp(a + b x), x = tokens / mean tokens."""
+    spark = counted.sparkSession
+    rows = [(s, a, b, m) for s, (a, b, m) in dual.items()]
+    d = F.broadcast(spark.createDataFrame(rows, "source string, a double, b double, m double"))
+    x = F.col("tokens") / F.col("m")
+    r = F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(50.0)))
+    got = counted.where(F.col("tokens") > 0).join(d, "source").groupBy("source").agg(F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), F.sum(r * x * x).alias("r2"))
+    return {g.source: (g.r0, g.r1, g.r2) for g in got.collect()}
+
+
+def balance(counted: DataFrame, wanted: list[Goal], total: float | None = None, rounds: int = 30, tolerance: float = 1e-7) -> dict[str, tuple[float, float, float]]:
+    """Dual variables (a, b, mean tokens) per source; a document's rate is exp(a + b tokens/mean).
+
+    Constraints per source are its target tokens and, so that the tilt does not swap short
+    documents for long ones, its mean document length.  Each Newton step takes gradient and
+    Hessian from one distributed aggregation over all documents (a row per listed source
+    comes back, and the list of sources is bounded).  Without ``total`` the mix is as large
+    as the listed sources.  A source whose target exceeds its repeats is held at its cap and
+    what it cannot give is spread over the rest in proportion; sources without tokens or
+    share have no rate.
     """
-    lam = {g.source: 0.0 for g in wanted}
-    per_source = cut(counted.where(F.col("tokens") > 0).groupBy("source").agg(F.sum("tokens").alias("t")))
-    have = {r.source: float(r.t) for r in per_source.where(F.col("source").isin(list(lam))).collect()}
-    live = [g for g in wanted if have.get(g.source, 0) > 0 and g.share > 0 and g.most > 0]
+    sizes = {r.source: (float(r.n), float(r.t)) for r in counted.where(F.col("tokens") > 0).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
+    live = [g for g in wanted if g.source in sizes and g.share > 0 and g.most > 0]
     if not live:
         return {}
-    total = total or sum(have[g.source] for g in live)
+    have = {g.source: sizes[g.source][1] for g in live}
+    total = total or sum(have.values())
     capped: set[str] = set()
     while True:
         free = [g for g in live if g.source not in capped]
-        fixed = sum(g.most * have[g.source] for g in live if g.source in capped)
+        left = max(total - sum(g.most * have[g.source] for g in live if g.source in capped), 0)
         mass = sum(g.share for g in free)
-        target = {g.source: max(total - fixed, 0) * g.share / mass for g in free} if free and mass else {}
+        target = {g.source: left * g.share / mass for g in free}
         over = {g.source for g in free if target[g.source] > g.most * have[g.source] * (1 + 1e-12)}
         if not over:
             break
         capped |= over
+    mean = {s: have[s] / sizes[s][0] for s in have}
+    dual = {s: (0.0, 0.0, mean[s]) for s in target if target[s] > 0}
     for _ in range(rounds):
-        # Dual: sum_s have_s exp(lam_s) - lam_s target_s; its gradient and Hessian are diagonal in the sources.
-        moments = {s: have[s] * math.exp(lam[s]) for s in target}
-        if all(abs(moments[s] - target[s]) <= tolerance * max(target[s], 1.0) for s in target):
+        moments = _moments(counted, dual) if dual else {}
+        worst = 0.0
+        for s, (m0, m1, m2) in moments.items():
+            want = target[s] / mean[s]
+            g = np.array([want - m0, want - m1])
+            worst = max(worst, float(np.abs(g).max()) / max(want, 1.0))
+            hess = np.array([[m0, m1], [m1, m2]]) + np.eye(2) * 1e-9 * m2
+            step = np.linalg.solve(hess, g)
+            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+            a, b, m = dual[s]
+            dual[s] = (float(a + step[0]), float(b + step[1]), m)
+        if worst <= tolerance:
             break
-        for s in target:
-            lam[s] += max(-2.0, min(2.0, (target[s] - moments[s]) / moments[s]))
-    rates = {s: math.exp(lam[s]) for s in target}
-    return rates | {g.source: float(g.most) for g in live if g.source in capped}
+    return dual | {g.source: (math.log(g.most), 0.0, mean[g.source]) for g in live if g.source in capped}
 
 
-def copies(counted: DataFrame, rates: dict[str, float], caps: dict[str, int], seed: int = 0, buckets: int = 1024) -> DataFrame:
+def copies(counted: DataFrame, dual: dict[str, tuple[float, float, float]], caps: dict[str, int], seed: int = 0, buckets: int = 1024) -> DataFrame:
     """(doc_id, source, tokens, copies): rates rounded so that each source's tokens come out.
 
     Along a hash order within a source, the expected tokens of the fractional parts add up;
@@ -112,9 +133,11 @@ def copies(counted: DataFrame, rates: dict[str, float], caps: dict[str, int], se
     so no source is ever sorted as a whole.  No document exceeds its source's cap.
     """
     spark = counted.sparkSession
-    table = F.broadcast(spark.createDataFrame([(s, float(r), int(caps[s])) for s, r in rates.items()] or [("", 0.0, 0)], "source string, rate double, cap bigint"))
+    known = [(s, a, b, m, int(caps[s])) for s, (a, b, m) in dual.items()] or [("", -50.0, 0.0, 1.0, 0)]
+    table = F.broadcast(spark.createDataFrame(known, "source string, a double, bb double, m double, cap bigint"))
+    rate = F.least(F.round(F.exp(F.col("a") + F.col("bb") * F.col("tokens") / F.col("m")), 9), F.col("cap").cast("double"))
     h = F.xxhash64(F.lit(seed), "doc_id")
-    rows = counted.where(F.col("tokens") > 0).join(table, "source").withColumn("h", h).withColumn("b", F.pmod("h", F.lit(buckets)))
+    rows = counted.where(F.col("tokens") > 0).join(table, "source").withColumn("rate", rate).withColumn("h", h).withColumn("b", F.pmod("h", F.lit(buckets)))
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("frac", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     before = rows.groupBy("source", "b").agg(F.sum("frac").alias("f"))
     run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,10 +158,10 @@ def mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: i
     wanted = goals(weights)
     listed = one.where(F.col("source").isin([g.source for g in wanted]))
     counted = cut(token_counts(listed, tokenizer_file))
-    rates = balance(counted, wanted, total)
-    used = copies(counted, rates, {g.source: g.most for g in wanted}, seed)
+    dual = balance(counted, wanted, total)
+    used = copies(counted, dual, {g.source: g.most for g in wanted}, seed)
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(g.source, g.share, g.most, float(rates.get(g.source, 0.0))) for g in wanted], "source string, target_share double, max_repeats bigint, rate double")
+    plan = spark.createDataFrame([(g.source, g.share, g.most, math.exp(dual[g.source][0] + dual[g.source][1]) if g.source in dual else 0.0) for g in wanted], "source string, target_share double, max_repeats bigint, rate double")
     have = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("source_tokens"))
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
     joined = plan.join(have, "source", "left").join(got, "source", "left")
