@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orgweave.session import cut
+
 # Fixed values (look-alike letters of the Unicode confusables data, as far as Latin text meets them).
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏ"
 CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXaesijopcyxhdqwl"
@@ -32,8 +34,9 @@ _ASCII = "".join(chr(c) for c in range(0x21, 0x7F))
 _HALF = "".join(chr(c) for c in range(0xFF65, 0xFF9E))
 _KATA = "".join(unicodedata.normalize("NFKC", ch) for ch in _HALF)
 _LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)}
-#: Texts with any of these need canonical composition or ligatures taken apart, which Spark SQL lacks.
-COMPOSABLE = "[\\p{M}ﬀ-ﬆᄀ-ᇿﾞﾟ豈-﫿]"
+#: Texts of these alone are their own skeleton: printable ASCII, composed Latin letters, and
+#: unified ideographs, full kana, syllables and plain Arabic letters, none of which has a double here.
+PLAIN = "^[ -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u017f\\u0621-\\u064a\\u3041-\\u3096\\u30a1-\\u30fa\\u30fc\\u4e00-\\u9fff\\uac00-\\ud7a3]*$"
 
 _LATIN = r"\p{IsLatin}"
 _CYR = r"\p{IsCyrillic}"
@@ -55,14 +58,6 @@ def compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None else unicodedata.normalize("NFC", s.translate(marks)))
 
 
-def composed(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``out`` = ``text_col`` in composed form; only the rows that can change visit Python."""
-    needs = F.coalesce(F.col(text_col).rlike(COMPOSABLE), F.lit(False))
-    plain = df.where(~needs).withColumn(out, F.col(text_col))
-    return plain.unionByName(df.where(needs).withColumn(out, compose(F.col(text_col))))
-
-
-
 def _token(t: Column, latin_text: Column) -> Column:
     """One token in its consistent script."""
     has_latin, has_cyr, has_grk = t.rlike(_LATIN), t.rlike(_CYR), t.rlike(_GRK)
@@ -109,29 +104,42 @@ def skeleton(c: Column) -> Column:
     return F.translate(c, CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
 
 
+def is_plain(c: Column) -> Column:
+    """True for texts that are their own skeleton: no letter, blank or mark that has a double."""
+    return c.rlike(PLAIN) & ~c.rlike("^ | $")
+
+
 def normalised(df: DataFrame, text_col: str, form: str = "form", key: str = "skel") -> DataFrame:
     """Add the consistent form and the skeleton of ``text_col``.
 
     NULL stays NULL, an empty text stays empty, the whole text counts.  Columns of ``df``
-    named like ``form`` or ``key`` are replaced.
+    named like ``form`` or ``key`` are replaced.  Plain texts are their own form; only the
+    others are folded, and visit Python for the composition that Spark SQL lacks.
     """
-    folded = df.withColumn("_folded", fold_forms(F.col(text_col)))
-    whole = composed(folded, "_folded", "_composed")
-    return whole.withColumn(form, consistent_form(F.col("_composed"))).withColumn(key, skeleton(F.col(form))).drop("_folded", "_composed")
+    t = F.col(text_col)
+    plain = F.coalesce(is_plain(t), F.lit(True))
+    same = df.where(plain).withColumn(form, t).withColumn(key, t)
+    return same.unionByName(_respelled(df.where(~plain), text_col, form, key))
+
+
+def _respelled(odd: DataFrame, text_col: str, form: str, key: str) -> DataFrame:
+    whole = odd.withColumn("_composed", compose(fold_forms(F.col(text_col))))
+    return whole.withColumn(form, consistent_form(F.col("_composed"))).withColumn(key, skeleton(F.col(form))).drop("_composed")
 
 
 def lookalike_pairs(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key_a, key_b): smaller key first, texts differ as strings and look the same.
 
-    Rows without key or text take no part; repeated rows count once.  Skeletons are first
-    reduced to the smallest and largest hash of their spellings, a fixed-width aggregation
-    that combines map-side; only skeletons with two spellings go on, so a text that a third
-    of all rows share in one spelling never meets in a join.
+    Rows without key or text take no part; repeated rows count once.  Two plain texts with
+    one skeleton are the same string, so every pair has a text that is not plain.  Those few
+    are respelled; of the plain rows only the ones that equal such a skeleton go on.  A
+    text that a third of all rows share in one spelling therefore meets nothing.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text_col).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    keyed = normalised(rows, "t").select("k", "t", "skel", F.xxhash64("skel").alias("hs"), F.xxhash64("t").alias("ht"))
-    several = keyed.groupBy("hs").agg(F.min("ht").alias("lo"), F.max("ht").alias("hi")).where("lo <> hi").select("hs")
-    kept = keyed.join(several, "hs", "left_semi").select("k", "t", "skel").distinct()
+    plain = is_plain(F.col("t"))
+    odd = cut(_respelled(rows.where(~plain).distinct(), "t", "form", "skel").select("k", "t", "skel"))
+    twins = rows.where(plain).join(odd.select(F.col("skel").alias("t")).distinct(), "t", "left_semi").select("k", "t", F.col("t").alias("skel"))
+    kept = cut(odd.unionByName(twins.distinct()))
     other = kept.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "skel")
     pairs = kept.join(other, "skel").where((F.col("t") != F.col("t2")) & (F.col("k") < F.col("k2")))
     return pairs.select(F.col("k").alias("key_a"), F.col("k2").alias("key_b")).distinct()
@@ -140,10 +148,14 @@ def lookalike_pairs(df: DataFrame, key: str, text_col: str) -> DataFrame:
 def lookalikes_of(names: DataFrame, mentions: DataFrame) -> DataFrame:
     """(key_a, key_b) where a mention's text differs from the name of its id but looks the same.
 
-    ``names`` (id, name), ``mentions`` (id, key, text).  An equi-join on the id compares
-    strings first; only texts that differ are normalised.
+    ``names`` (id, name), ``mentions`` (id, key, text).  Equi-joins on the id; of a pair that
+    differs and looks the same one text is not plain, so plain mentions meet only the names
+    that are not plain, and all others are never joined.
     """
-    differing = mentions.join(names, "id").where((F.col("text") != F.col("name")) & (F.abs(F.length("text") - F.length("name")) <= F.greatest(F.length("text"), F.length("name")))).select("id", "key", "text", "name").distinct()
-    left = normalised(differing, "text", "f1", "s1")
-    both = normalised(left, "name", "f2", "s2")
+    odd_names = cut(names.where(~is_plain(F.col("name"))))
+    differing = mentions.where(~is_plain(F.col("text"))).join(names, "id").where(F.col("text") != F.col("name"))
+    if not odd_names.isEmpty():
+        differing = differing.unionByName(mentions.where(is_plain(F.col("text"))).join(odd_names, "id"))
+    differing = cut(differing.select("id", "key", "text", "name").distinct())
+    both = normalised(normalised(differing, "text", "f1", "s1"), "name", "f2", "s2")
     return both.where(F.col("s1") == F.col("s2")).select(F.col("id").alias("key_a"), F.col("key").alias("key_b")).distinct()
