@@ -63,12 +63,13 @@ class Item:
 
 @dataclass
 class TestSide:
-    """Test items as token ids, and their seeds per mask: sorted hashes with item and position."""
+    """Test items as token ids, their seeds per mask (sorted hashes with item and position) and their shared sentences."""
 
     vocabulary: dict[str, int]
     items: list[Item]
     hashes: list[np.ndarray]
     at: list[np.ndarray]
+    phrases: list[np.ndarray]
 
 
 def _seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +122,8 @@ def test_side(rows: list[tuple[int, str]], shared_by: int = 3) -> TestSide:
         order = np.argsort(h, kind="stable")
         hashes.append(h[order])
         at.append(w[order])
-    return TestSide(vocabulary, items, hashes, at)
+    phrases = [np.array([vocabulary[w] for w in k], np.int64) for k, n in sorted(spread.items()) if n >= shared_by]
+    return TestSide(vocabulary, items, hashes, at, phrases)
 
 
 def align(doc: np.ndarray, item: Item, mismatch: float = 0.8, gap: float = 0.7) -> tuple[list[int], int]:
@@ -196,8 +198,8 @@ def batch_hits(pieces: list[np.ndarray], side: TestSide) -> Iterator[tuple[int,
 _KEPT = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 
 
-def verify(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items: list[Item], least: int, seeded: int = 6, band: int = 6) -> Iterator[tuple[int, int, int]]:
-    """(eval_id, matched, span) of the items of which the document holds a passage.
+def claims(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items: list[Item], least: int, seeded: int = 6, band: int = 6) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item index, matched, span, first, last) of the stretches that hold a passage of an item.
 
     Hits of one item are clustered by document position.  Items resemble each other in their
     set phrases, so the words of a document are credited once: the cluster whose seeds cover
@@ -221,7 +223,6 @@ def verify(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items:
     queue.sort(key=lambda q: q[:2])
     free = ids.copy()
     claimed: set[int] = set()
-    best: dict[int, tuple[int, int]] = {}
     while queue:
         _, i, cover, a, b = queue.pop(0)
         left = cover - claimed
@@ -239,9 +240,16 @@ def verify(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items:
         first, last = a + min(places), a + max(places)
         free[first : last + 1] = -1
         claimed |= set(range(first, last + 1))
-        best[i] = max(best.get(i, (0, 0)), (len(places), span))
+        yield i, len(places), span, first, last
         queue.append((-len(cover), i, cover, a, b))
         queue.sort(key=lambda q: q[:2])
+
+
+def verify(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items: list[Item], least: int) -> Iterator[tuple[int, int, int]]:
+    """(eval_id, matched, span) of the longest passage of each item that the document holds."""
+    best: dict[int, tuple[int, int]] = {}
+    for i, matched, span, _, _ in claims(ids, hits, items, least):
+        best[i] = max(best.get(i, (0, 0)), (matched, span))
     for i, (matched, span) in best.items():
         yield items[i].eval_id, matched, span
 

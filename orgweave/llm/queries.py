@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.functions.ids import bare_id
-from orgweave.llm import consensus, leakage, lookalike, mixing, quota
+from orgweave.llm import consensus, leakage, lookalike, mixing, quota, readability, variants
 from orgweave.session import table
 
 
@@ -83,8 +83,27 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    names = variants.recorded_names(table(spark, d, "ror_record"), table(spark, d, "proposal"))
+    return variants.link_items(table(spark, d, "item"), names)
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "level_label"), table(spark, d, "eval_item"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per source and level."""
+    sources = table(spark, d, "documents").select("doc_id", F.coalesce(mixing.source_name(F.col("source")), F.lit("")).alias("source")).dropDuplicates(["doc_id"])
+    return _levels(spark, d).join(sources, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("docs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p5_found, p5_sample, p5_report, p8_found, p8_items, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p5_found, p5_sample, p5_report, p6_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
