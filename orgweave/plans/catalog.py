@@ -391,7 +391,7 @@ def proposal_apply(s: SparkSession, d: str) -> DataFrame:
     """Proposed candidates with the confidence clamped to [0, 1] and blank reasons dropped."""
     c = V.candidates(s, d).where("llm_proposed")
     reason = F.when(F.trim("llm_justification") != "", F.col("llm_justification"))
-    return c.select("item_id", F.col("rank").cast("bigint").alias("rank"), "rid", F.least(F.greatest("llm_confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"), reason.alias("reason"))
+    return c.select("item_id", F.col("rank").cast("bigint").alias("rank"), "rid", F.when(F.col("llm_confidence").isNotNull(), F.least(F.greatest("llm_confidence", F.lit(0.0)), F.lit(1.0))).alias("confidence"), reason.alias("reason"))
 
 
 # --- scoring ---------------------------------------------------------------------------------
