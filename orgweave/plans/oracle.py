@@ -117,7 +117,6 @@ QUERIES: dict[str, str] = {
     "multi_affil": f"SELECT raw FROM rawtext WHERE {_multi('raw')}",
     "redact_emails": f"SELECT md5(raw) raw_md5, regexp_replace(raw, '{_MAIL}', 'redacted@\\1', 'g') AS text, {_count('raw', _MAIL)}::BIGINT n FROM rawtext WHERE {_count('raw', _MAIL)} > 0",
     "redact_many": f"SELECT DISTINCT item_id, array_to_string(list_transform(texts, lambda x: regexp_replace(x, '{_MAIL}', 'redacted@\\1', 'g')), chr(10)) AS text, list_sum(list_transform(texts, lambda x: {_count('x', _MAIL)}))::BIGINT n FROM redact WHERE list_sum(list_transform(texts, lambda x: {_count('x', _MAIL)})) > 0",
-    "contains_norm": "SELECT DISTINCT c.item_id, c.city, contains(trim(regexp_replace(lower(strip_accents(i.raw_affiliation)), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(strip_accents(c.city)), '[^a-z0-9]+', ' ', 'g'))) hit FROM cand c JOIN item i ON i.item_id = c.item_id AND i.raw_affiliation IS NOT NULL WHERE c.rank = 1 AND c.city IS NOT NULL",
     "stratum_route": f"SELECT stratum, count(*) n FROM (SELECT CASE WHEN s.script IS NOT NULL THEN 'non_latin_script' WHEN {_multi('r.raw')} THEN 'multi_affiliation' WHEN regexp_matches(r.raw, '{_HOSPITAL}') THEN 'hospital_medical' WHEN regexp_matches(r.raw, '{_GOVERNMENT}') THEN 'government_lab' WHEN regexp_matches(r.raw, '{_COMPANY}') THEN 'company' WHEN contains(lower(r.raw), 'university') OR contains(lower(r.raw), 'college') THEN 'anglophone_university' WHEN length(r.raw) > 10 THEN 'colliding_department' ELSE 'unrouted' END stratum FROM rawtext r LEFT JOIN ({_SCRIPTSQL}) s USING (raw)) GROUP BY ALL",
     "html_size_budget": "SELECT doc_id, strlen(text)::BIGINT bytes, strlen(text) <= 4000 AS within FROM documents WHERE text IS NOT NULL",
     "html_refs": "SELECT DISTINCT response_id, len(regexp_extract_all(p, 'https?://'))::BIGINT urls, len(regexp_extract_all(p, '[=\"''`(]//'))::BIGINT AS relative, len(regexp_extract_all(p, '@import'))::BIGINT imports, len(regexp_extract_all(p, '\\bfetch\\s*\\('))::BIGINT fetches FROM (SELECT response_id, regexp_replace(lower(payload), '\\\\(?:/|u002f|x2f)', '/', 'g') p FROM raw_response WHERE payload IS NOT NULL)",
