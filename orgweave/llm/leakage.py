@@ -88,17 +88,20 @@ def _seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return h[start], start
 
 
-def test_side(rows: list[tuple[int, str]], shared_by: int = 3) -> TestSide:
+def test_side(rows: list[tuple[int, str]], shared_by: int = 3, shared: set[str] | None = None) -> TestSide:
     """Prepare the test items.
 
     A sentence that at least ``shared_by`` items hold in the same words is an instruction or
-    a set phrase: its words are no item's own.  Items without text are skipped.
+    a set phrase: its words are no item's own.  ``shared`` names such sentences where only a
+    slice of the items is at hand.  Items without text are skipped.
     """
     texts: dict[int, list[list[str]]] = {}
     for eid, text in rows:
         if eid is not None and text:
             texts[eid] = [w for s in sentences(text) if (w := words(s))]
     spread = Counter(k for ss in texts.values() for k in {tuple(s) for s in ss})
+    if shared is not None:
+        spread.update({k: shared_by for k in spread if " ".join(k) in shared})
     vocabulary: dict[str, int] = {}
     items = []
     for eid, ss in sorted(texts.items()):
@@ -254,6 +257,19 @@ def verify(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items:
         yield items[i].eval_id, matched, span
 
 
+def shared_sentences(evals: DataFrame, shared_by: int = 3) -> DataFrame:
+    """(eval_id, sentence) for the sentences, as plain words, that several test items hold."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, " ".join(words(s))) for i, t in zip(b["eval_id"], b["text"]) for s in sentences(t)]
+            yield pd.DataFrame(rows, columns=["eval_id", "sentence"])
+
+    said = evals.select("eval_id", "text").mapInPandas(split, "eval_id bigint, sentence string").where("sentence <> ''").distinct()
+    often = said.groupBy("sentence").agg(F.count("*").alias("n")).where(F.col("n") >= shared_by).select("sentence")
+    return said.join(often, "sentence", "left_semi").select("eval_id", "sentence")
+
+
 def find_leaks(documents: DataFrame, evals: DataFrame, least: int = 10, broadcast_bound: int = 2_000_000) -> DataFrame:
     """(doc_id, eval_id, matched, span): every document that holds a passage of a test item.
 
@@ -268,9 +284,11 @@ def find_leaks(documents: DataFrame, evals: DataFrame, least: int = 10, broadcas
     size = ev.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 5
     slices = max(1, int(np.ceil(size / broadcast_bound)))
     parts = []
+    phrases = shared_sentences(ev) if slices > 1 else None
     for k in range(slices):
-        own = ev if slices == 1 else ev.where(F.pmod(F.xxhash64("eval_id"), F.lit(slices)) == k)
-        side = test_side([(r.eval_id, r.text) for r in own.collect()])
+        mine = F.pmod(F.xxhash64("eval_id"), F.lit(slices)) == k
+        shared = {r.sentence for r in phrases.where(mine).select("sentence").distinct().collect()} if phrases is not None else None
+        side = test_side([(r.eval_id, r.text) for r in (ev if slices == 1 else ev.where(mine)).collect()], shared=shared)
         held = docs.sparkSession.sparkContext.broadcast(side)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
