@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g", app: str = "orgweave") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -21,10 +23,34 @@ def build_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship_package(session)
+    return session
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Functions for Arrow batches name helpers of their modules, which executors import; they
+    need neither a shared checkout nor a search path of their own.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="orgweave-code-")) / "orgweave.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("orgweave") / p.relative_to(root))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; Parquet keeps column pruning and filter pushdown."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,5 +71,6 @@ def cut(df: DataFrame) -> DataFrame:
 
     A reliable checkpoint survives the loss of executors, which a local one does not.
     """
+    ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
