@@ -22,13 +22,14 @@ def undone(labels: DataFrame, n: int = 1) -> DataFrame:
 
 
 def annotator_pairs(live: DataFrame) -> DataFrame:
-    """(item_id, a, b, x, y): the two annotators with the lowest and highest live label of an item.
+    """(item_id, a, b, x, y): every two annotators of an item, ``a`` before ``b`` by name, and their outcomes.
 
-    One pair per item, so the rows grow with the items and not with their pairs.
+    A self-join on the item: it holds at most one live label per annotator, so an item gives at
+    most as many rows as there are pairs of annotators.
     """
-    k = live.select("item_id", "annotator", "label_id", outcome_key(F.col("decision"), F.col("ids")).alias("o"))
-    both = k.groupBy("item_id").agg(F.min(F.struct("label_id", "annotator", "o")).alias("f"), F.max(F.struct("label_id", "annotator", "o")).alias("l"), F.count("*").alias("n")).where("n > 1")
-    return both.select("item_id", F.col("f.annotator").alias("a"), F.col("l.annotator").alias("b"), F.col("f.o").alias("x"), F.col("l.o").alias("y"))
+    k = live.select("item_id", "annotator", outcome_key(F.col("decision"), F.col("ids")).alias("o"))
+    first, second = k.select("item_id", F.col("annotator").alias("a"), F.col("o").alias("x")), k.select("item_id", F.col("annotator").alias("b"), F.col("o").alias("y"))
+    return first.join(second, "item_id").where("a < b").select("item_id", "a", "b", "x", "y")
 
 
 def progress(labels: DataFrame, strata: DataFrame) -> DataFrame:

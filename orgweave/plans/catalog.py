@@ -336,7 +336,8 @@ def iaa_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def kappa(s: SparkSession, d: str) -> DataFrame:
-    return metrics.kappa(iaa_pairs(s, d).join(V.strata(s, d), "item_id"), "stratum")
+    """Kappa of every two annotators in every stratum where both labelled an item."""
+    return metrics.kappa(iaa_pairs(s, d).join(V.strata(s, d), "item_id"), "a", "b", "stratum")
 
 
 @query
