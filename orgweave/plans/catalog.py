@@ -246,7 +246,7 @@ def color_scale(s: SparkSession, d: str) -> DataFrame:
 @query
 def keyed_upsert(s: SparkSession, d: str) -> DataFrame:
     old = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n"))
-    new = table(s, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("n"))
+    new = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).cast("bigint").alias("n"))
     return labels.keyed_upsert(old, new, "key")
 
 
