@@ -530,7 +530,8 @@ def intersection_frame(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap(_scores(s, d).where("rule = 'exact'"), ["source"])
+    rows = _scores(s, d).where("rule = 'exact'").join(V.strata(s, d), "item_id", "left")
+    return metrics.bootstrap(rows.na.fill("unknown", ["stratum"]), ["source"])
 
 
 # --- clustering ------------------------------------------------------------------------------
