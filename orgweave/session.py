@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,23 +57,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``, set as checkpoint folder.
 
-    Only where the session names none (tests, single machine) is a folder of our own set.
+    Only where the session names none and runs on this machine alone (tests) is a folder of our
+    own set; on a cluster that names none this raises, since executors share no local folder.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orgweave-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="orgweave-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    A reliable checkpoint survives the loss of executors, which a local one does not.
+    A reliable checkpoint survives the loss of executors, which a local one does not.  Spark
+    removes it when nothing refers to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so.
     """
     ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, for wide rows: a Parquet table in the shared folder, compressed and pruned by column.
+
+    The table lies below the application's checkpoint folder and is removed when the interpreter
+    leaves while the session is still up; a column's type and order stay as they are.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session has ended, and its folder is the cluster's to clean
+        pass
