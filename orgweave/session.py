@@ -97,7 +97,7 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
