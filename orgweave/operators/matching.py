@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The relations that satisfy each rule.
 RULES = {
@@ -51,54 +52,70 @@ def matching_size(masks: Column) -> Column:
     return F.when(n == 0, 0).otherwise(n + F.array_min(F.transform(subsets, deficiency))).cast("int")
 
 
-def _augment(masks: list[int]) -> int:
-    """Augmenting paths, for sides beyond the subset formula."""
-    partner: dict[int, int] = {}
-
-    def place(a: int, tried: set[int]) -> bool:
-        m, g = masks[a], 0
-        while m:
-            if m & 1 and g not in tried:
-                tried.add(g)
-                if g not in partner or place(partner[g], tried):
-                    partner[g] = a
-                    return True
-            m >>= 1
-            g += 1
-        return False
-
-    return sum(place(a, set()) for a in range(len(masks)))
-
-
-def with_matching(df: DataFrame, masks: str, out: str) -> DataFrame:
-    """Add the matching size; sides of more than 12 nodes go through Arrow batches."""
-    small = df.where(F.size(masks) <= 12).withColumn(out, matching_size(F.col(masks)))
-    schema = f"{df._jdf.schema().toDDL()}, `{out}` int"
+def _augment(partners: list[list[int]]) -> int:
+    """Augmenting paths breadth first, for sides beyond the subset formula."""
+    left_of: dict[int, int] = {}
+    size = 0
+    for start in range(len(partners)):
+        came: dict[int, int] = {}  # right node -> left node from which it was reached
+        frontier, end = [start], None
+        while frontier and end is None:
+            reached = []
+            for a in frontier:
+                for g in partners[a]:
+                    if g not in came:
+                        came[g] = a
+                        if g not in left_of:
+                            end = g
+                            break
+                        reached.append(left_of[g])
+                if end is not None:
+                    break
+            frontier = reached
+        held = {a: g for g, a in left_of.items()}
+        while end is not None:
+            a = came[end]
+            left_of[end], end = a, held.get(a)
+            size += end is None
+    return size
+
+
+def with_matching(df: DataFrame, partners: str, out: str) -> DataFrame:
+    """Add the matching size of ``partners``: per left node the places of its right nodes, from 0.
+
+    Up to 12 left nodes with places below 63 take the formula on bit masks; all others, of any size, go through
+    Arrow batches.
+    """
+    p = F.col(partners)
+    fits = (F.size(p) <= 12) & (F.coalesce(F.array_max(F.flatten(p)), F.lit(0)) < 63)
+    masks = F.transform(p, lambda one: F.aggregate(one, F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), g))))
+    small = df.where(fits).withColumn("_masks", masks).withColumn(out, matching_size(F.col("_masks"))).drop("_masks")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{out: [_augment([int(x) for x in m]) for m in b[masks]]})
+            yield b.assign(**{out: [_augment([[int(g) for g in one] for one in x]) for x in b[partners]]})
 
-    return small.unionByName(df.where(F.size(masks) > 12).mapInPandas(run, schema))
+    return small.unionByName(df.where(~fits).mapInPandas(run, schema))
 
 
 def score_sets(sides: DataFrame, relations: DataFrame) -> DataFrame:
     """One row per (item, source, rule) with outcome and element counts.
 
     ``sides`` (item_id, source, decision, gold_ids, assigned_ids), ``relations`` as from
-    :func:`pair_relations` with columns item_id, source.  Gold lists of up to 63 ids fit the
-    masks; nothing here reads the source but to keep rows apart.
+    :func:`pair_relations` with columns item_id, source.  Sets may have any size; nothing here reads
+    the source but to keep rows apart.
     """
     resolved = sides.where(F.col("decision").isin("accepted", "corrected"))
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.array(*[F.lit(x) for x in rel]).alias("accepts")) for r, rel in RULES.items()])).alias("k")
-    joined = relations.join(resolved.select("item_id", "source", "gold_ids"), ["item_id", "source"]).withColumn("bit", F.expr("shiftleft(cast(1 as bigint), cast(array_position(gold_ids, gold) - 1 as int))"))
-    per_pair = joined.select("item_id", "source", "assigned", "active", "chained", "relation", "bit", rules)
+    joined = relations.join(resolved.select("item_id", "source", "gold_ids"), ["item_id", "source"]).withColumn("place", (F.array_position("gold_ids", F.col("gold")) - 1).cast("int"))
+    per_pair = joined.select("item_id", "source", "assigned", "active", "chained", "relation", "place", rules)
     ok = F.col("active") & F.array_contains(F.col("k.accepts"), F.col("relation"))
     per_left = per_pair.groupBy("item_id", "source", F.col("k.rule").alias("rule"), "assigned").agg(
-        F.bit_or(F.when(ok, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias("mask"), F.bool_or(~F.col("active") & F.col("chained")).alias("stale")
+        F.collect_set(F.when(ok, F.col("place"))).alias("partners"), F.bool_or(~F.col("active") & F.col("chained")).alias("stale")
     )
-    sets = per_left.groupBy("item_id", "source", "rule").agg(F.collect_list("mask").alias("masks"), F.sum((F.col("mask") == 0).cast("int")).alias("ungrounded"), F.bool_and(F.col("stale")).alias("all_stale"))
-    sized = with_matching(sets, "masks", "m")
+    sets = per_left.groupBy("item_id", "source", "rule").agg(F.collect_list("partners").alias("partners"), F.sum((F.size("partners") == 0).cast("int")).alias("ungrounded"), F.bool_and(F.col("stale")).alias("all_stale"))
+    sized = with_matching(sets, "partners", "m")
     every = sides.withColumn("k", F.explode(F.array(*[F.lit(r) for r in RULES]))).select("item_id", "source", F.col("k").alias("rule"), "decision", F.size("gold_ids").alias("g"), F.size("assigned_ids").alias("a"))
     j = every.join(sized.select("item_id", "source", "rule", "m", "ungrounded", "all_stale"), ["item_id", "source", "rule"], "left")
     outcome = (

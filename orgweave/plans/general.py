@@ -33,13 +33,16 @@ def response_triples(spark: SparkSession, d: str, keep: tuple[str, ...]) -> Data
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every non-null leaf value with the place of its item, its list and its inner list."""
+    """Every non-null leaf value with the place of its item, its list and its inner list.
+
+    Members of a text that wraps several responses may state a leaf alike, hence the distinct.
+    """
     wide = nested.pivot_groups(response_triples(spark, d, tuple(LEAVES.values())), tuple(LEAVES.values()))
     group = {k: next(iter(nested.groups_of([p]))) for k, p in LEAVES.items()}
     kind = F.coalesce(*[F.when(F.col("ancestor") == a, F.lit(k)) for k, a in group.items()])
     leaf = F.coalesce(*[F.col(nested.leaf_name(p)) for p in LEAVES.values()])
     at = lambda i: F.coalesce(F.try_element_at("ordinals", F.lit(i)), F.lit(0)).cast("bigint")
-    return wide.select(F.col("record_id").alias("response_id"), at(1).alias("item_pos"), kind.alias("kind"), at(2).alias("outer_pos"), at(3).alias("inner_pos"), leaf.alias("leaf"))
+    return wide.select(F.col("record_id").alias("response_id"), at(1).alias("item_pos"), kind.alias("kind"), at(2).alias("outer_pos"), at(3).alias("inner_pos"), leaf.alias("leaf")).distinct()
 
 
 def _p1_table(ancestor: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -108,7 +111,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    tables = {"p1_items": "items[]", "p1_names": f"{_ORG}.names[]", "p1_external_ids": f"{_ORG}.external_ids[]", "p1_locations": f"{_ORG}.locations[]", "p1_relationships": f"{_ORG}.relationships[]"}
+    tables = {"p1_items": "items[]", "p1_names": f"{_ORG}.names[]", "p1_name_types": f"{_ORG}.names[].types[]", "p1_external_ids": f"{_ORG}.external_ids[]", "p1_external_id_values": f"{_ORG}.external_ids[].all[]", "p1_locations": f"{_ORG}.locations[]", "p1_relationships": f"{_ORG}.relationships[]"}
     return {"p1_found": p1_found, **{k: _p1_table(a) for k, a in tables.items()}, "p2_found": p2_found, "p2_descendants": p2_descendants, "p2_cycles": p2_cycles, "p7_found": p7_found}
 
 

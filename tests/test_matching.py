@@ -47,12 +47,38 @@ def test_outcomes(spark):
     assert score(spark, "accepted", ["oxford"], [])[0]["exact"] == ("no_assignment", None, None, None)
 
 
+def _kuhn(partners):
+    """Depth-first matching, small inputs only."""
+    of = {}
+
+    def place(a, tried):
+        for g in partners[a]:
+            if g not in tried:
+                tried.add(g)
+                if g not in of or place(of[g], tried):
+                    of[g] = a
+                    return True
+        return False
+
+    return sum(place(a, set()) for a in range(len(partners)))
+
+
 def test_matching_size_equals_augmenting_paths(spark):
     r = random.Random(3)
-    sides = [[r.getrandbits(6) & r.getrandbits(6) for _ in range(r.randint(0, 14))] for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(sides)), "i int, masks array<bigint>")
-    got = {x.i: x.m for x in matching.with_matching(df, "masks", "m").collect()}
-    assert got == {i: matching._augment(s) for i, s in enumerate(sides)}
+    sides = [[sorted({r.randrange(6) for _ in range(r.randint(0, 3))}) for _ in range(r.randint(0, 14))] for _ in range(150)]
+    sides += [[sorted({r.randrange(90) for _ in range(r.randint(0, 3))}) for _ in range(r.randint(0, 120))] for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(sides)), "i int, partners array<array<int>>")
+    got = {x.i: x.m for x in matching.with_matching(df, "partners", "m").collect()}
+    assert got == {i: _kuhn(s) for i, s in enumerate(sides)} == {i: matching._augment(s) for i, s in enumerate(sides)}
+
+
+def test_more_than_63_gold_ids(spark):
+    gold = [f"g{k:03d}" for k in range(70)]
+    rows = [(a, g, "exact" if a == g else "none", True, False) for a in gold[:2] + gold[64:66] for g in gold]
+    rel = spark.createDataFrame([("i", "s", *r) for r in rows], "item_id string, source string, assigned string, gold string, relation string, active boolean, chained boolean")
+    sides = spark.createDataFrame([("i", "s", "corrected", gold, gold[:2] + gold[64:66])], "item_id string, source string, decision string, gold_ids array<string>, assigned_ids array<string>")
+    got = {r.rule: (r.outcome, r.tp, r.fp, r.fn) for r in matching.score_sets(sides, rel).collect()}
+    assert got["exact"] == ("collapsed", 4, 0, 66)
 
 
 def test_succession_is_shortest_and_never_reflexive(spark):

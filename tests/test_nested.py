@@ -2,6 +2,8 @@
 
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orgweave.operators import nested
@@ -80,6 +82,51 @@ def test_struct_and_json_agree_and_tables_link(spark):
     assert {(tuple(r.parent_ordinals), r.types) for r in types.collect()} == {((1, 0), "a"), ((1, 0), "b")}
 
 
+def test_every_member_of_a_wrapping_list_counts(spark):
+    texts = {1: '{"data": [{"x": {"a": 1}}, {"x": {"a": 2}}]}', 2: '[{"x": {"a": 1}}, null, 3, {"x": {"a": 2}}]', 3: '{"x": {"a": 9}, "data": {"response": [{"x": {"a": 1}}, {"x": {"a": 2}}]}, "y": 1}'}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, payload string")
+    t = nested.triples_from_json(df, "id", "payload", envelopes=("response", "data"))
+    assert sorted((r.record_id, r.member, r.path, r.value) for r in t.collect()) == [(i, m, "x.a", str(m + 1)) for i in texts for m in (0, 1)]
+    assert {(r.record_id, r.member, r.a) for r in nested.pivot_group(t, "", ["x.a"]).select("record_id", "member", F.col("x_a").alias("a")).collect()} == {(i, m, str(m + 1)) for i in texts for m in (0, 1)}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers(-(10**12), 10**12) | st.floats(allow_nan=False) | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20), st.sampled_from([None, 1]))
+@settings(max_examples=150, deadline=None)
+def test_events_rebuild_the_document(doc, indent):
+    text = json.dumps(doc, indent=indent)
+    assert _built(text) == json.loads(text)
+
+
+def _built(text):
+    root, stack, keys = [], [], []
+    for kind, value in nested.events(text):
+        if kind == nested._KEY:
+            keys[-1] = value
+        elif kind == nested._CLOSE:
+            stack.pop(), keys.pop()
+        else:
+            new = {} if value == "{" else [] if kind == nested._OPEN else value
+            if not stack:
+                root.append(new)
+            elif isinstance(stack[-1], list):
+                stack[-1].append(new)
+            else:
+                stack[-1][keys[-1]] = new
+            if kind == nested._OPEN:
+                stack.append(new), keys.append(None)
+    return root[0]
+
+
+def test_events_refuse_what_json_refuses():
+    for text in ("", "{", "[1,]", '{"a":1,}', "[1 2]", '{"a" 1}', "{a:1}", "[1]]", '"a', "tru", "01", "-", '{"a":}', "[,1]", "1 1", '["a\n"]'):
+        for parse in (json.loads, _built):
+            try:
+                parse(text)
+            except ValueError:
+                continue
+            raise AssertionError((parse, text))
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "response_id bigint, payload string")
     assert nested.triples_from_json(df, "response_id", "payload").count() == 0
