@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,63 +95,107 @@ def own_units(units: list[tuple[str, bool]], parts: list[list[str]], ids: np.nda
     return [u for u, e, p in zip(units, ends, parts) if not p or taken[e - len(p) : e].mean() < 0.5]
 
 
-def own_batch(texts: list[str], foreign: leakage.TestSide | None) -> list[list[tuple[str, bool]]]:
-    """Own units of each text; seeds of the whole batch are looked up in one run."""
+def own_batch(texts: list[str], foreign: list[leakage.TestSide | None]) -> list[list[tuple[str, bool]]]:
+    """Own units of each text; seeds of texts with one foreign side are looked up in one run.
+
+    Only texts in which a seed or the first word of a shared sentence turns up are taken apart
+    word by word.
+    """
     units = [text_units(t) for t in texts]
-    if foreign is None:
-        return units
-    parts = [[leakage.words(s) for s, _ in u] for u in units]
-    ids = [leakage.doc_ids([w for p in ps for w in p], foreign.vocabulary) for ps in parts]
-    found = dict(leakage.batch_hits(ids, foreign))
-    opening = {int(p[0]) for p in foreign.phrases}
-    for k in range(len(texts)):
-        if k in found or opening and np.isin(ids[k], list(opening)).any():
-            units[k] = own_units(units[k], parts[k], ids[k], found.get(k, {}), foreign)
+    sides: dict[int, list[int]] = {}
+    for k, f in enumerate(foreign):
+        if f is not None:
+            sides.setdefault(id(f), []).append(k)
+    for ks in sides.values():
+        side = foreign[ks[0]]
+        opening = np.array(sorted({int(p[0]) for p in side.phrases}), np.int64)
+        ids = [leakage.doc_ids(leakage.words(texts[k]), side.vocabulary) for k in ks]
+        met = {i for i, _ in leakage.batch_hits(ids, side)}
+        met |= {i for i, x in enumerate(ids) if len(opening) and np.isin(x, opening).any()}
+        some = sorted(met)
+        parts = [[leakage.words(s) for s, _ in units[ks[i]]] for i in some]
+        ids = [leakage.doc_ids([w for p in ps for w in p], side.vocabulary) for ps in parts]
+        found = dict(leakage.batch_hits(ids, side))
+        for j, i in enumerate(some):
+            units[ks[i]] = own_units(units[ks[i]], parts[j], ids[j], found.get(j, {}), side)
     return units
 
 
 def is_english_prose(units: list[tuple[str, bool]], least_words: int = 8) -> bool:
     """Running English prose: Latin letters, English words or endings, more prose than rows."""
-    prose = [s for s, listed in units if not listed]
-    words = [w for s in prose for w in _ALPHA.findall(s.lower())]
-    rows = sum(len(_ALPHA.findall(s)) for s, listed in units if listed)
-    letters = sum(ch.isalpha() for s in prose for ch in s)
+    words, letters, rows = [], 0, 0
+    for s, listed in units:
+        found = _ALPHA.findall(s.lower())
+        if listed:
+            rows += len(found)
+        else:
+            words += found
+            letters += sum(map(len, found)) if s.isascii() else sum(map(str.isalpha, s))
     if len(words) < least_words or len(words) <= rows or sum(map(len, words)) < 0.8 * letters:
         return False
     n = len(words)
-    english = sum(w in FUNCTION_WORDS for w in words) / n
-    foreign = sum(w in FOREIGN_WORDS for w in words) / n
-    endings = sum(len(w) > 6 and w.endswith(ENDINGS) for w in words) / n
-    return foreign < english + 0.5 * endings and (english >= 0.2 or english + endings >= 0.3)
-
-
-def features(sentences: list[str], rarity: dict[str, float], unseen: float) -> np.ndarray:
-    """Feature vector of a document; names in mid-sentence capitals do not count as words."""
-    rows, everything = [], []
-    for s in sentences:
-        toks = _ALPHA.findall(s)
-        words = [w.lower() for k, w in enumerate(toks) if k == 0 or not w[0].isupper() or not toks[0][1:].islower() and len(toks[0]) > 1]
-        if not words:
-            continue
-        everything += words
-        n = len(words)
-        content = [w for w in words if w not in FUNCTION_WORDS] or words
-        rare = [rarity.get(w, unseen) for w in content]
-        syll = sum(max(1, len(_VOWELS.findall(w))) for w in content) / len(content)
-        rows.append(
-            (
-                sum(rare) / len(rare), sum(map(len, content)) / len(content), syll, sum(len(w) >= 9 for w in content) / len(content), sum(len(w) >= 13 for w in content) / len(content),
-                math.log(n), sum(w in CONNECTIVES for w in words) / n, (s.count(",") + s.count(";") + sum(w in SUBORDINATORS for w in words)) / math.sqrt(n), max(map(len, content)), n,
-            )
-        )
-    if not rows:
-        return np.zeros(42)
-    x = np.array(rows)
-    weight = x[:, -1] / x[:, -1].sum()
-    mean = (x * weight[:, None]).sum(0)
-    total, distinct = len(everything), len(set(everything))
-    quart = np.sort(x[:, :9], axis=0)[[int(q * (len(x) - 1) + 0.5) for q in (0.2, 0.5, 0.8)]].T.ravel()
-    return np.array([*mean[:9], *x[:, :3].std(0), distinct / math.sqrt(total), math.log(distinct) / math.log(total + 1), math.log(total), *quart])
+    english = foreign = endings = 0
+    for w, k in Counter(words).items():
+        english += k * (w in FUNCTION_WORDS)
+        foreign += k * (w in FOREIGN_WORDS)
+        endings += k * (len(w) > 6 and w.endswith(ENDINGS))
+    return foreign < english + 0.5 * endings and (english >= 0.2 * n or english + endings >= 0.3 * n)
+
+
+def sentence_words(s: str) -> list[str]:
+    """Words of a sentence in lower case; names in mid-sentence capitals do not count as words."""
+    toks = _ALPHA.findall(s)
+    if not toks:
+        return []
+    head = toks[0]
+    if len(head) > 1 and not head[1:].islower():
+        return [w.lower() for w in toks]
+    return [head.lower(), *(w.lower() for w in toks[1:] if not w[0].isupper())]
+
+
+FEATURES = 42
+
+
+def features(documents: list[list[str]], rarity: Callable[[str], float]) -> np.ndarray:
+    """One feature row per document, given its sentences; all words of the batch are summed up at once."""
+    places: dict[str, int] = {}
+    ids: list[int] = []
+    size: list[int] = []
+    marks: list[int] = []
+    of: list[int] = []
+    for d, sentences in enumerate(documents):
+        for s in sentences:
+            words = sentence_words(s)
+            if words:
+                ids += [places.setdefault(w, len(places)) for w in words]
+                size.append(len(words))
+                marks.append(s.count(",") + s.count(";"))
+                of.append(d)
+    out = np.zeros((len(documents), FEATURES))
+    if not ids:
+        return out
+    about = np.array([(rarity(w), len(w), max(1, len(_VOWELS.findall(w))), len(w) >= 9, len(w) >= 13, w in CONNECTIVES, w in SUBORDINATORS, w not in FUNCTION_WORDS) for w in places])
+    word, n, start = about[ids], np.array(size), np.concatenate([[0], np.cumsum(size)[:-1]])
+    content = word[:, 7] > 0
+    none = np.add.reduceat(content, start, dtype=np.int64) == 0
+    content |= np.repeat(none, n)
+    k = np.add.reduceat(content, start, dtype=np.int64)
+    means = np.add.reduceat(word[:, :5] * content[:, None], start) / k[:, None]
+    longest = np.maximum.reduceat(word[:, 1] * content, start)
+    joins = np.add.reduceat(word[:, 5], start) / n
+    clauses = (np.array(marks) + np.add.reduceat(word[:, 6], start)) / np.sqrt(n)
+    rows = np.column_stack([means, np.log(n), joins, clauses, longest])
+    of_doc = np.array(of)
+    first = np.flatnonzero(np.concatenate([[True], of_doc[1:] != of_doc[:-1]]))
+    ends = np.append(first[1:], len(of_doc))
+    upto = np.append(start, len(ids))
+    for a, b in zip(first, ends):
+        x = rows[a:b]
+        mean = (x * n[a:b, None]).sum(0) / n[a:b].sum()
+        total, distinct = int(n[a:b].sum()), len(set(ids[upto[a] : upto[b]]))
+        quart = np.sort(x, axis=0)[[int(q * (len(x) - 1) + 0.5) for q in (0.2, 0.5, 0.8)]].T.ravel()
+        out[of_doc[a]] = [*mean, *x[:, :3].std(0), distinct / math.sqrt(total), math.log(distinct) / math.log(total + 1), math.log(total), *quart]
+    return out
 
 
 @dataclass
@@ -208,31 +254,45 @@ def fit(x: np.ndarray, y: np.ndarray, levels: int = 5, ridge: float = 3e-3, roun
     return OrdinalModel(mean, scale, theta[:d], raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]))
 
 
-def word_rarity(docs: DataFrame, kept: int = 50_000) -> tuple[dict[str, float], float]:
-    """-log share of the ``kept`` most frequent words, and the value of any rarer word.
+class Rarity:
+    """-log share of every word, from counts in two tables of fixed size.
 
-    Counts run over all documents and combine map-side; only the ``kept`` words, a fixed
-    bound, come to the driver.  Rarer words are all as rare as the last one kept.
+    A word's count is the lesser of two cells, chosen by different bits of one checksum, so no
+    word is left out however many there are; words that share both cells share their sum.
     """
+
+    def __init__(self, tables: np.ndarray) -> None:
+        self.tables, self.bits = tables, int(tables.shape[1]).bit_length() - 1
+        self.total = max(1, int(tables[0].sum()))
+
+    def __call__(self, w: str) -> float:
+        c = zlib.crc32(w.encode())
+        n = min(self.tables[0, c & ((1 << self.bits) - 1)], self.tables[1, c >> (32 - self.bits)])
+        return min(12.0, math.log(self.total / n)) if n else 12.0
+
+
+def word_rarity(docs: DataFrame, bits: int = 18) -> Rarity:
+    """Counts of all words of all documents, combined map-side; 2 * 2**bits sums come to the driver."""
     words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    top = counts.orderBy(F.col("n").desc(), "w").limit(kept).collect()
-    table = {r.w: min(12.0, -math.log(r.n / total)) for r in top}
-    return table, min(12.0, max(table.values(), default=12.0))
+    counts = words.groupBy(F.crc32("w").alias("c")).agg(F.count("*").alias("n"))
+    cells = F.array(F.col("c").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("c", 32 - bits) + (1 << bits))
+    tables = np.zeros(2 << bits, np.int64)
+    for r in counts.select("n", F.explode(cells).alias("cell")).groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        tables[r.cell] = r.n
+    return Rarity(tables.reshape(2, -1))
 
 
 def _featured(docs: DataFrame, held) -> DataFrame:  # noqa: ANN001
+    """Features, or levels, of ``docs`` (doc_id, text, met); met: test items of a side too large to hold."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rarity, unseen, foreign, model = held.value
+        rarity, foreign, model = held.value
         for batch in batches:
-            ids, xs = [], []
-            for did, units in zip(batch["doc_id"], own_batch(list(batch["text"]), foreign)):
-                if is_english_prose(units):
-                    ids.append(did)
-                    xs.append(features([s for s, listed in units if not listed], rarity, unseen))
-            x = np.array(xs) if xs else np.zeros((0, 42))
-            out = {"doc_id": np.array(ids, np.int64)}
+            sides = [foreign if m is None else leakage.side_of(m) for m in batch["met"]] if "met" in batch else [foreign] * len(batch)
+            own = own_batch(list(batch["text"]), sides)
+            kept = [k for k, units in enumerate(own) if is_english_prose(units)]
+            x = features([[s for s, listed in own[k] if not listed] for k in kept], rarity)
+            out = {"doc_id": batch["doc_id"].to_numpy()[kept]}
             if model is None:
                 out["x"] = list(x)
             else:
@@ -240,34 +300,42 @@ def _featured(docs: DataFrame, held) -> DataFrame:  # noqa: ANN001
                 out["score"] = model.latent(x)
             yield pd.DataFrame(out)
 
-    schema = "doc_id bigint, x array<double>" if held.value[3] is None else "doc_id bigint, reading_level bigint, score double"
+    schema = "doc_id bigint, x array<double>" if held.value[2] is None else "doc_id bigint, reading_level bigint, score double"
     return docs.mapInPandas(run, schema)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, foreign_texts: DataFrame | None = None, max_labels: int = 20_000) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, foreign_texts: DataFrame | None = None, max_labels: int = 20_000, broadcast_bound: int = 2_000_000) -> DataFrame:
     """(doc_id, reading_level, score) for every document of running English prose.
 
     The model is fitted on at most ``max_labels`` graded texts, chosen by a hash of the
     document where there are more; everything else covers all documents, whole texts.
-    NULL, empty and placeholder texts, lists and other languages give no row; repeated rows
-    count once; without usable labels nothing is calibrated and the result is empty.
-    ``foreign_texts`` (eval_id, text): passages that are not a document's own.
+    NULL, empty and placeholder texts, lists and other languages give no row; doc_id is the key,
+    a document stated again in the same words has one row, with another text one of its own; without usable
+    labels nothing is calibrated and the result is empty.
+    ``foreign_texts`` (eval_id, text): passages that are not a document's own.  They are held whole
+    up to ``broadcast_bound`` words; beyond, each document carries the items it has a seed of.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    rarity, unseen = word_rarity(documents.where("text IS NOT NULL"))
+    docs = documents.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rarity = word_rarity(docs)
     side = None
     if foreign_texts is not None:
-        side = leakage.test_side([(r[0], r[1]) for r in foreign_texts.select("eval_id", "text").where("text IS NOT NULL").limit(100_000).collect()])
+        ev = leakage.items_of(foreign_texts)
+        if leakage.side_words(ev) <= broadcast_bound:
+            side = leakage.test_side([(r.eval_id, r.text) for r in ev.collect()])
+        else:
+            docs = leakage.with_met_items(docs, ev)
     graded = labels.where("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 5").select(F.col("doc_id").cast("bigint").alias("doc_id"), "grader", F.col("reading_level").cast("int").alias("y")).distinct()
     rows = graded.orderBy(F.xxhash64("doc_id"), "grader").limit(max_labels).collect()
+    empty = spark.createDataFrame([], "doc_id bigint, reading_level bigint, score double")
     if not rows:
-        return spark.createDataFrame([], "doc_id bigint, reading_level bigint, score double")
-    held = spark.sparkContext.broadcast((rarity, unseen, side, None))
+        return empty
+    held = spark.sparkContext.broadcast((rarity, side, None))
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in rows})], "doc_id bigint"))
     xs = {r.doc_id: np.array(r.x) for r in _featured(docs.join(chosen, "doc_id", "left_semi"), held).collect()}
     pairs = [(xs[r.doc_id], r.y) for r in rows if r.doc_id in xs]
     if len({y for _, y in pairs}) < 2:
-        return spark.createDataFrame([], "doc_id bigint, reading_level bigint, score double")
+        return empty
     model = fit(np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]))
-    return _featured(docs, spark.sparkContext.broadcast((rarity, unseen, side, model)))
+    # Rows are made distinct after the text is gone: no text is ever shuffled.
+    return _featured(docs, spark.sparkContext.broadcast((rarity, side, model))).distinct()
