@@ -37,55 +37,32 @@ def current_says(labels: DataFrame) -> DataFrame:
     return rows.groupBy("item", "annotator").agg(F.max("say").alias("say")).select("item", "annotator", F.col("say.outcome").alias("outcome")).where("outcome IS NOT NULL")
 
 
-def _chords(says: DataFrame, width: int) -> DataFrame:
-    """Pairs of says on one item: each with the next ``width`` in hash order, around the ring.
+def _pairs(says: DataFrame) -> DataFrame:
+    """(a, b, same) for every two says on one item, ``a`` before ``b``.
 
-    Items with up to 2*width+1 says give every pair once; beyond, pairs per say stay at
-    ``width``, so the work grows with the rows and not with their square.  Which pairs are
-    compared depends on a hash alone, hence agreement rates stay unbiased.
+    An annotator has one say on an item, so a list holds at most as many as there are annotators;
+    pairs are formed within a task and summed up there before any is shuffled.
     """
-    order = F.xxhash64("item", "annotator")
-    ring = says.select("item", "annotator", F.xxhash64("outcome").alias("o"), order.alias("h"))
-    per_item = ring.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("h", "annotator", "o"))).alias("r")).where(F.size("r") > 1)
-    n = F.size("r")
-    half = F.floor((n - 1) / 2).cast("int")
-    steps = F.least(F.lit(width), F.greatest(half, F.lit(1)))
-
-    def partners(x: Column, i: Column) -> Column:
-        whole = F.transform(F.sequence(F.lit(1), steps), lambda k: F.struct(x.alias("p"), F.element_at("r", ((i + k) % n + 1).cast("int")).alias("q")))
-        across = (n % 2 == 0) & (n > 2) & (half < F.lit(width)) & (i < n / 2)
-        extra = F.when(across, F.array(F.struct(x.alias("p"), F.element_at("r", (i + (n / 2).cast("int") + 1).cast("int")).alias("q")))).otherwise(F.array().cast("array<struct<p:struct<h:bigint,annotator:string,o:bigint>,q:struct<h:bigint,annotator:string,o:bigint>>>"))
-        whole = F.when((n == 2) & (i == 1), F.array().cast("array<struct<p:struct<h:bigint,annotator:string,o:bigint>,q:struct<h:bigint,annotator:string,o:bigint>>>")).otherwise(whole)
-        return F.concat(whole, extra)
-
-    pairs = per_item.select(F.explode(F.flatten(F.transform("r", partners))).alias("c"))
-    first = F.col("c.p.annotator") < F.col("c.q.annotator")
-    return pairs.select(
-        F.when(first, F.col("c.p.annotator")).otherwise(F.col("c.q.annotator")).alias("a"),
-        F.when(first, F.col("c.q.annotator")).otherwise(F.col("c.p.annotator")).alias("b"),
-        (F.col("c.p.o") == F.col("c.q.o")).cast("bigint").alias("same"),
-    )
-
-
-def pair_agreement(says: DataFrame, width: int = 8) -> DataFrame:
-    """(a, b, n, same, c): agreement of each pair of annotators and its chance-corrected rate.
+    per_item = says.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", F.xxhash64("outcome").alias("o")))).alias("r")).where(F.size("r") > 1)
+    two = F.expr("flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x.annotator AS a, y.annotator AS b, CAST(x.o = y.o AS bigint) AS same))))")
+    return per_item.select(F.explode(two).alias("p")).select("p.*")
+
+
+def pair_agreement(says: DataFrame) -> DataFrame:
+    """(a, b, n, same, c, e): agreement of each pair of annotators, its chance-corrected rate and the chance.
 
     Chance agreement is Cohen's: the product of the two annotators' own outcome shares,
-    summed over the outcomes that hold at least 1/200 of all says (so at most 200 of them,
-    which bounds the broadcast); rarer ones add nothing visible.  Pairs aggregate map-side before any row is shuffled.
+    summed over all outcomes; an outcome meets only the annotators who ever gave it.
     """
-    counted = _chords(says, width).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
-    frequent = says.groupBy("outcome").agg(F.count("*").alias("all")).where(F.col("all") >= max(1, says.count() / 200)).select("outcome")
-    held = says.join(F.broadcast(frequent), "outcome").groupBy("annotator", "outcome").agg(F.count("*").alias("k"))
-    totals = says.groupBy("annotator").agg(F.count("*").alias("of"))
-    shares = held.join(totals, "annotator").withColumn("share", F.col("k") / F.col("of"))
-    chance = (
-        counted.join(shares.select(F.col("annotator").alias("a"), "outcome", F.col("share").alias("sa")), "a")
-        .join(shares.select(F.col("annotator").alias("b"), "outcome", F.col("share").alias("sb")), ["b", "outcome"])
-        .groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("e"))
-    )
+    counted = _pairs(says).groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("same").alias("same"))
+    held = says.groupBy("annotator", "outcome").agg(F.count("*").alias("k"))
+    totals = held.groupBy("annotator").agg(F.sum("k").alias("of"))
+    shares = held.join(totals, "annotator").select("annotator", F.xxhash64("outcome").alias("o"), (F.col("k") / F.col("of")).alias("share"))
+    per_outcome = shares.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("annotator", "share"))).alias("r")).where(F.size("r") > 1)
+    two = F.expr("flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x.annotator AS a, y.annotator AS b, x.share * y.share AS e))))")
+    chance = per_outcome.select(F.explode(two).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.e").alias("e"))
     e = F.least(F.coalesce("e", F.lit(0.0)), F.lit(0.99))
-    return counted.join(chance, ["a", "b"], "left").select("a", "b", "n", "same", ((F.col("same") / F.col("n") - e) / (1 - e)).alias("c"))
+    return counted.join(chance, ["a", "b"], "left").select("a", "b", "n", "same", ((F.col("same") / F.col("n") - e) / (1 - e)).alias("c"), e.alias("e"))
 
 
 def reliability(pairs: DataFrame, floor: float = 0.02, ceiling: float = 0.995) -> DataFrame:
@@ -95,19 +72,23 @@ def reliability(pairs: DataFrame, floor: float = 0.02, ceiling: float = 0.995) -
     the ring; each such triplet adds c_ab c_ac to the numerator and c_bc to the denominator,
     weighted by its smallest count.  The ratio of the sums is the squared skill.  Annotators
     without a usable triplet get the root of their mean corrected rate.  Triplets grow with the pairs.
+
+    ``skill`` is the chance-corrected rate; ``accuracy`` is the probability of a right say that
+    follows from it, skill + (1 - skill) * chance, with the annotator's mean chance agreement.
     """
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n", "c").union(pairs.select("b", "a", "n", "c"))
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n", "c", "e").union(pairs.select("b", "a", "n", "c", "e"))
     w = Window.partitionBy("x").orderBy(F.col("n").desc(), "y")
     around = both.withColumn("y2", F.coalesce(F.lead("y").over(w), F.first("y").over(w))).withColumn("n2", F.coalesce(F.lead("n").over(w), F.first("n").over(w)))
     around = around.withColumn("c2", F.coalesce(F.lead("c").over(w), F.first("c").over(w))).where("y <> y2")
     third = both.select(F.col("x").alias("y"), F.col("y").alias("y2"), F.col("n").alias("n3"), F.col("c").alias("c3"))
     weight = F.least("n", "n2", "n3")
     trip = around.join(third, ["y", "y2"]).groupBy("x").agg(F.sum(weight * F.col("c") * F.col("c2")).alias("num"), F.sum(weight * F.col("c3")).alias("den"))
-    total = both.groupBy("x").agg(F.sum("n").alias("compared"), (F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("mean_c"))
+    total = both.groupBy("x").agg(F.sum("n").alias("compared"), (F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("mean_c"), (F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("chance"))
     sq = F.when((F.col("den") > 0) & (F.col("num") > 0), F.col("num") / F.col("den")).when(F.col("den") > 0, F.lit(0.0))
-    est = total.join(trip, "x", "left").select("x", "compared", "mean_c", (F.sqrt(sq) * F.when(F.col("mean_c") < 0, -1).otherwise(1)).alias("s"))
+    est = total.join(trip, "x", "left").select("x", "compared", "mean_c", "chance", (F.sqrt(sq) * F.when(F.col("mean_c") < 0, -1).otherwise(1)).alias("s"))
     skill = F.coalesce("s", F.sqrt(F.greatest("mean_c", F.lit(0.0))))
-    return est.select(F.col("x").alias("annotator"), skill.alias("skill"), F.least(F.greatest(skill, F.lit(floor)), F.lit(ceiling)).alias("accuracy"), "compared")
+    right = F.greatest(skill, F.lit(0.0)) + (1 - F.greatest(skill, F.lit(0.0))) * F.col("chance")
+    return est.select(F.col("x").alias("annotator"), skill.alias("skill"), F.least(F.greatest(right, F.lit(floor)), F.lit(ceiling)).alias("accuracy"), "compared")
 
 
 def weighted_votes(says: DataFrame, rel: DataFrame, least: int = 3, alternatives: int = 8) -> DataFrame:
@@ -130,8 +111,8 @@ def weighted_votes(says: DataFrame, rel: DataFrame, least: int = 3, alternatives
     )
 
 
-def consensus(labels: DataFrame, least: int = 3, width: int = 8) -> tuple[DataFrame, DataFrame]:
+def consensus(labels: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """Consensus per item and reliability per annotator; empty input gives empty results."""
     says = cut(current_says(labels))
-    rel = cut(reliability(pair_agreement(says, width)))
+    rel = cut(reliability(cut(pair_agreement(says))))
     return weighted_votes(says, rel, least), rel

@@ -58,11 +58,21 @@ def test_consensus_edge_rows(spark):
     assert votes.count() == 0 and rel.count() == 0
 
 
-def test_chords_give_every_pair_of_small_items_once(spark):
-    says = spark.createDataFrame([(f"i{n}", f"a{k}", "o" if k % 2 else "p") for n in range(2, 9) for k in range(n)], "item string, annotator string, outcome string")
-    got = Counter((r.a, r.b) for r in consensus._chords(says, 8).collect())
-    want = Counter(p for n in range(2, 9) for p in itertools.combinations([f"a{k}" for k in range(n)], 2))
-    assert got == want
+def test_agreement_counts_every_pair(spark):
+    r = random.Random(8)
+    rows = [(f"i{n}", f"a{k:02d}", r.choice("opqr")) for n in range(2, 40) for k in range(n)]
+    got = {(x.a, x.b): (x.n, x.same, round(x.e, 9)) for x in consensus.pair_agreement(spark.createDataFrame(rows, "item string, annotator string, outcome string")).collect()}
+    by, own = defaultdict(dict), defaultdict(Counter)
+    for i, a, o in rows:
+        by[i][a] = o
+        own[a][o] += 1
+    want = defaultdict(lambda: [0, 0])
+    for i in by.values():
+        for a, b in itertools.combinations(sorted(i), 2):
+            want[a, b][0] += 1
+            want[a, b][1] += i[a] == i[b]
+    chance = lambda a, b: min(0.99, sum(own[a][o] * own[b][o] for o in own[a]) / own[a].total() / own[b].total())
+    assert got == {k: (*v, round(chance(*k), 9)) for k, v in want.items()}
 
 
 # --- look-alikes -------------------------------------------------------------------------------
@@ -96,6 +106,56 @@ def test_flow_meets_targets_and_reports_slack():
     assert [sum(q["draws"].values()) for q in out] == [5, 3]
 
 
+def _best(cells, available, beyond):
+    """Least cost over all draws, by trying every one; margins apart from cells."""
+    unit = sorted(available)
+    least = None
+    for draw in itertools.product(*[range(available[u] + 1) for u in unit]):
+        got, cost = dict(zip(unit, draw)), 0
+        for c in cells:
+            mine = sum(n for (st, sub), n in got.items() if (not c.stratum or st == c.stratum) and (not c.sub or sub == c.sub))
+            lo = min(c.floor, c.target)
+            cost += quota.FLOOR * max(0, lo - mine) + quota.TARGET * max(0, c.target - max(mine, lo)) + beyond * max(0, mine - c.target)
+        least = cost if least is None else min(least, cost)
+    return least
+
+
+def _cost(cells, out, beyond):
+    drawn = Counter()
+    for q in out:
+        drawn.update(q["draws"])
+    total = 0
+    for c, q in zip(cells, out):
+        mine = sum(n for (st, sub), n in drawn.items() if (not c.stratum or st == c.stratum) and (not c.sub or sub == c.sub))
+        assert q["shortfall"] == max(0, c.target - mine)
+        lo = min(c.floor, c.target)
+        total += quota.FLOOR * max(0, lo - mine) + quota.TARGET * max(0, c.target - max(mine, lo)) + beyond * max(0, mine - c.target)
+    return total
+
+
+def test_flow_is_optimal_where_margins_compete():
+    # Stratum a may give six rows, its cell x asks for five of them and sub-stratum y for four.
+    cells = [quota.Cell("", "y", 4, 3, 0), quota.Cell("a", "", 6, 0, 0), quota.Cell("a", "x", 5, 2, 0), quota.Cell("b", "y", 1, 1, 0)]
+    available = {("a", "x"): 5, ("a", "y"): 4, ("b", "y"): 2}
+    out = quota.cell_quotas(cells, available)
+    assert _cost(cells, out, quota.BEYOND) == _best(cells, available, quota.BEYOND)
+    r = random.Random(2)
+    for _ in range(60):
+        available = {(s, u): r.randint(0, 4) for s in "ab" for u in "xy"}
+        picks = [("a", "x"), ("b", "y"), ("a", ""), ("b", ""), ("", "x"), ("", "y")]
+        cells = [quota.Cell(s, u, t, r.randint(0, t), 0) for s, u in sorted(r.sample(picks, r.randint(1, 5))) for t in [r.randint(0, 6)]]
+        if any((s, u) in available and not any(c.stratum == s or c.sub == u and not c.stratum for c in cells) for s, u in available):
+            continue
+        got = quota.cell_quotas(cells, available)
+        assert _cost(cells, got, quota.BEYOND) == _best(cells, available, quota.BEYOND), (cells, available)
+
+
+def test_an_item_under_two_strata_is_drawn_once(spark):
+    df = spark.createDataFrame([("i", "a", None, False), ("i", "b", None, False), ("j", "b", None, False)], "item_id string, stratum string, sub_stratum string, demo boolean")
+    t = spark.createDataFrame([("a", None, 0.5, 5, 1), ("b", None, 0.5, 5, 1)], "stratum string, sub_stratum string, target_share double, target_rows bigint, min_rows bigint")
+    assert sorted(tuple(r)[:2] for r in quota.quota_sample(df, t)[0].collect()) == [("i", "a"), ("j", "b")]
+
+
 def test_sample_is_exact_and_report_counts_distinct_usable_items(spark):
     items = [(f"i{n}", " Big-One " if n % 2 else "BIG_ONE", None, False, 0) for n in range(3000)] + [("i1", "big one", None, False, 0)] + [("d", "big_one", None, True, 0), (None, "big_one", None, False, 0), ("s1", "small", "Sub A", None, 0), ("s2", None, None, False, 0)]
     df = spark.createDataFrame(items, "item_id string, stratum string, sub_stratum string, demo boolean, h int").select("item_id", "stratum", "sub_stratum", "demo")
