@@ -1,11 +1,10 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document d of source s has a rate r_d: how often it is used.  Of all rates that give
-every source its target tokens, those with the least relative entropy to one use per token
-are exponential, r_d = exp(lambda . f_d), and their lambda solve a convex dual.  The dual's
-gradient and Hessian are sums over documents, so each Newton step is one aggregation; a
-source that its cap keeps from its target leaves the constraints at the cap.  Rates become
-whole copies by systematic rounding along a hash order.
+Each document d of source s has a rate r_d: how often it is used.  Of all rates up to the cap that give
+every source its target tokens, those with the least relative entropy to one use per document
+are exponentially tilted, r_d = min(cap, exp(lambda_s t_d)), t_d its tokens, and the lambda solve a convex dual.
+Gradient and curvature are sums over documents, so each Newton step is one aggregation.  Rates become
+whole copies by systematic rounding.
 """
 
 from __future__ import annotations
@@ -67,83 +66,105 @@ def goals(weights: DataFrame, bound: int = 100_000) -> list[Goal]:
     return sorted(seen.values(), key=lambda g: g.source)
 
 
-def _moments(counted: DataFrame, dual: dict[str, tuple[float, float, float]]) -> dict[str, tuple[float, ...]]:
-    """Sums over documents of r, r x and r x^2 per source, r = exp(a + b x), x = tokens / mean tokens."""
-    spark = counted.sparkSession
-    rows = [(s, a, b, m) for s, (a, b, m) in dual.items()]
-    d = F.broadcast(spark.createDataFrame(rows, "source string, a double, b double, m double"))
-    x = F.col("tokens") / F.col("m")
-    r = F.exp(F.least(F.col("a") + F.col("b") * x, F.lit(50.0)))
-    got = counted.where(F.col("tokens") > 0).join(d, "source").groupBy("source").agg(F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), F.sum(r * x * x).alias("r2"))
-    return {g.source: (g.r0, g.r1, g.r2) for g in got.collect()}
-
-
-def balance(counted: DataFrame, wanted: list[Goal], total: float | None = None, rounds: int = 30, tolerance: float = 1e-7) -> dict[str, tuple[float, float, float]]:
-    """Dual variables (a, b, mean tokens) per source; a document's rate is exp(a + b tokens/mean).
-
-    Constraints per source are its target tokens and, so that the tilt does not swap short
-    documents for long ones, its mean document length.  Each Newton step takes gradient and
-    Hessian from one distributed aggregation over all documents (a row per listed source
-    comes back, and the list of sources is bounded).  Without ``total`` the mix is as large
-    as the listed sources.  A source whose target exceeds its repeats is held at its cap and
-    what it cannot give is spread over the rest in proportion; sources without tokens or
-    share have no rate.
+def lengths(counted: DataFrame) -> DataFrame:
+    """(source, tokens, docs): all that the dual needs of the documents, since equal lengths have equal rates."""
+    return counted.where("tokens > 0").groupBy("source", "tokens").agg(F.count("*").alias("docs"))
+
+
+def _rate(lam: Column, tokens: Column, mean: Column, cap: Column) -> Column:
+    return F.least(F.exp(F.least(lam * tokens / mean, F.lit(50.0))), cap.cast("double"))
+
+
+def _dual_table(spark, dual: dict[str, tuple[float, float, int]]) -> DataFrame:  # noqa: ANN001
+    rows = [(s, *v) for s, v in dual.items()]
+    return F.broadcast(spark.createDataFrame(rows, "source string, lam double, mean double, cap long"))
+
+
+def _gradient(of: DataFrame, dual: dict[str, tuple[float, float, int]]) -> dict[str, tuple[float, float]]:
+    """Per source the tokens that the rates give, and how fast they grow with its dual variable."""
+    rate = _rate(F.col("lam"), F.col("tokens"), F.col("mean"), F.col("cap"))
+    rows = of.join(_dual_table(of.sparkSession, dual), "source").withColumn("given", F.col("docs") * F.col("tokens") * rate)
+    slope = F.when(rate < F.col("cap"), F.col("given") * F.col("tokens") / F.col("mean")).otherwise(0.0)
+    return {g.source: (g.t, g.d) for g in rows.groupBy("source").agg(F.sum("given").alias("t"), F.sum(slope).alias("d")).collect()}
+
+
+def targets(sizes: dict[str, float], wanted: list[Goal], total: float | None) -> dict[str, float]:
+    """Tokens per source: shares of the total, where a source can give them within its cap.
+
+    Without ``total`` the mix is as large as the listed sources.  What sources at their cap cannot
+    give is spread over the rest in proportion; sources without tokens or share get nothing.
     """
-    sizes = {r.source: (float(r.n), float(r.t)) for r in counted.where(F.col("tokens") > 0).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
-    live = [g for g in wanted if g.source in sizes and g.share > 0 and g.most > 0]
-    if not live:
-        return {}
-    have = {g.source: sizes[g.source][1] for g in live}
-    total = total or sum(have.values())
+    live = [g for g in wanted if sizes.get(g.source, 0) > 0 and g.share > 0 and g.most > 0]
+    total = total or sum(sizes[g.source] for g in live)
+    most = {g.source: g.most * sizes[g.source] for g in live}
     capped: set[str] = set()
     while True:
         free = [g for g in live if g.source not in capped]
-        left = max(total - sum(g.most * have[g.source] for g in live if g.source in capped), 0)
+        left = max(total - sum(most[s] for s in capped), 0)
         mass = sum(g.share for g in free)
-        target = {g.source: left * g.share / mass for g in free}
-        over = {g.source for g in free if target[g.source] > g.most * have[g.source] * (1 + 1e-12)}
+        aim = {g.source: left * g.share / mass for g in free}
+        over = {s for s, t in aim.items() if t >= most[s]}
         if not over:
-            break
+            return aim | {s: most[s] for s in capped}
         capped |= over
-    mean = {s: have[s] / sizes[s][0] for s in have}
-    dual = {s: (0.0, 0.0, mean[s]) for s in target if target[s] > 0}
-    for _ in range(rounds):
-        moments = _moments(counted, dual) if dual else {}
-        worst = 0.0
-        for s, (m0, m1, m2) in moments.items():
-            want = target[s] / mean[s]
-            g = np.array([want - m0, want - m1])
-            worst = max(worst, float(np.abs(g).max()) / max(want, 1.0))
-            hess = np.array([[m0, m1], [m1, m2]]) + np.eye(2) * 1e-9 * m2
-            step = np.linalg.solve(hess, g)
-            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-            a, b, m = dual[s]
-            dual[s] = (float(a + step[0]), float(b + step[1]), m)
-        if worst <= tolerance:
-            break
-    return dual | {g.source: (math.log(g.most), 0.0, mean[g.source]) for g in live if g.source in capped}
 
 
-def copies(counted: DataFrame, dual: dict[str, tuple[float, float, float]], caps: dict[str, int], seed: int = 0, buckets: int = 1024) -> DataFrame:
+def balance(of: DataFrame, wanted: list[Goal], total: float | None = None, rounds: int = 60, tolerance: float = 1e-8) -> dict[str, tuple[float, float, int]]:
+    """Dual variable, mean tokens and cap per source; a document's rate is min(cap, exp(lam tokens/mean)).
+
+    Of all rates between 0 and the cap that give every source its target tokens, these have the least
+    relative entropy to one use per document: the token constraint's multiplier tilts them by
+    length, and those of the caps cut the tilt off.  The dual is convex with one variable a source; each
+    Newton step takes all gradients and curvatures from one distributed aggregation (a row per listed
+    source comes back), and a step that leaves the bracket of the root halves it instead.  A
+    source that needs all it has under its cap sits at the cap: the limit of a growing multiplier.
+    """
+    sizes = {r.source: (float(r.n), float(r.t)) for r in of.groupBy("source").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("tokens")).alias("t")).collect()}
+    aim = targets({s: t for s, (_, t) in sizes.items()}, wanted, total)
+    caps = {g.source: g.most for g in wanted}
+    mean = {s: sizes[s][1] / sizes[s][0] for s in aim}
+    full = {s for s, t in aim.items() if t >= caps[s] * sizes[s][1] * (1 - 1e-12)}
+    lam = {s: 0.0 for s, t in aim.items() if t > 0 and s not in full}
+    low, high = dict.fromkeys(lam, -math.inf), dict.fromkeys(lam, math.inf)
+    for _ in range(rounds if lam else 0):
+        at = _gradient(of, {s: (v, mean[s], caps[s]) for s, v in lam.items()})
+        off = {s: aim[s] - at[s][0] for s in lam}
+        if max(abs(off[s]) / aim[s] for s in lam) <= tolerance:
+            break
+        for s, v in lam.items():
+            (low if off[s] > 0 else high)[s] = v
+            # Newton on the logarithm of the tokens given, which is close to linear in the multiplier.
+            step = math.log(aim[s] / at[s][0]) * at[s][0] / at[s][1] if at[s][1] > 0 and at[s][0] > 0 else math.copysign(1.0, off[s])
+            new = v + max(-4.0, min(4.0, step))
+            if not low[s] < new < high[s]:
+                new = (max(low[s], v - 4.0) + min(high[s], v + 4.0)) / 2
+            lam[s] = new
+    dual = {s: (v, mean[s], caps[s]) for s, v in lam.items()}
+    return dual | {s: (math.inf, mean[s], caps[s]) for s in full}
+
+
+def copies(counted: DataFrame, dual: dict[str, tuple[float, float, int]], seed: int = 0, bucket_docs: int = 4096) -> DataFrame:
     """(doc_id, source, tokens, copies): rates rounded so that each source's tokens come out.
 
-    Along a hash order within a source, the expected tokens of the fractional parts add up;
-    a document gets one more copy each time the sum passes another document's worth.  The
-    running sum is taken inside hash buckets and offset by the sums of the buckets before,
-    so no source is ever sorted as a whole.  No document exceeds its source's cap.
+    Within a hash bucket, in the order of their length, the fractional parts of the rates
+    add up; a document gets one more copy each time the sum passes a whole one, so each
+    length has its share of them.  The running sum is offset by the sums of the buckets before.  A
+    source has a bucket for about ``bucket_docs`` documents, so none is ever sorted as a whole.
+    No document exceeds its source's cap.
     """
     spark = counted.sparkSession
-    known = [(s, a, b, m, int(caps[s])) for s, (a, b, m) in dual.items()] or [("", -50.0, 0.0, 1.0, 0)]
-    table = F.broadcast(spark.createDataFrame(known, "source string, a double, bb double, m double, cap bigint"))
-    rate = F.least(F.round(F.exp(F.col("a") + F.col("bb") * F.col("tokens") / F.col("m")), 9), F.col("cap").cast("double"))
+    known = {s: (min(v, 1e6), m, c) for s, (v, m, c) in dual.items()} or {"": (-1e6, 1.0, 0)}
+    rows = counted.where(F.col("tokens") > 0).join(_dual_table(spark, known), "source")
+    rows = rows.withColumn("rate", F.round(_rate(F.col("lam"), F.col("tokens"), F.col("mean"), F.col("cap")), 9))
+    sizes = rows.groupBy("source").agg(F.ceil(F.count("*") / bucket_docs).alias("buckets"))
     h = F.xxhash64(F.lit(seed), "doc_id")
-    rows = counted.where(F.col("tokens") > 0).join(table, "source").withColumn("rate", rate).withColumn("h", h).withColumn("b", F.pmod("h", F.lit(buckets)))
+    rows = rows.join(F.broadcast(sizes), "source").withColumn("h", h).withColumn("b", F.pmod("h", F.col("buckets")))
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("frac", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     before = rows.groupBy("source", "b").agg(F.sum("frac").alias("f"))
     run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("source", "b", F.coalesce(F.sum("f").over(run), F.lit(0.0)).alias("ahead"))
     inner = Window.partitionBy("source", "b").orderBy("tokens", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(F.broadcast(before), ["source", "b"]).withColumn("sum", F.col("ahead") + F.sum("frac").over(inner))
+    placed = rows.join(before, ["source", "b"]).withColumn("sum", F.col("ahead") + F.sum("frac").over(inner))
     extra = F.floor(F.col("sum") + 0.5 + 1e-7) - F.floor(F.col("sum") - F.col("frac") + 0.5 + 1e-7)
     return placed.select("doc_id", "source", "tokens", F.least(F.col("whole") + extra, F.col("cap")).cast("bigint").alias("copies"))
 
@@ -152,21 +173,22 @@ def mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: i
     """The mix (documents with at least one copy) and the report of the shares reached.
 
     Documents of sources that are not listed, of NULL source, or without tokens are not in
-    the mix; a doc_id stated twice counts once.  Every listed source has a report row.
+    the mix; a doc_id stated twice counts once, with its least source and tokens.  Every listed source has a report row.
     """
-    one = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").dropDuplicates(["doc_id"])
     wanted = goals(weights)
-    listed = one.where(F.col("source").isin([g.source for g in wanted]))
-    counted = cut(token_counts(listed, tokenizer_file))
-    dual = balance(counted, wanted, total)
-    used = copies(counted, dual, {g.source: g.most for g in wanted}, seed)
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
+    # Texts are counted where they lie: only numbers are ever shuffled.
+    each = token_counts(named.where(F.col("source").isin([g.source for g in wanted])), tokenizer_file)
+    counted = cut(each.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("d")).select("doc_id", "d.source", "d.tokens"))
+    dual = balance(cut(lengths(counted)), wanted, total)
+    used = copies(counted, dual, seed)
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(g.source, g.share, g.most, math.exp(dual[g.source][0] + dual[g.source][1]) if g.source in dual else 0.0) for g in wanted], "source string, target_share double, max_repeats bigint, rate double")
+    plan = spark.createDataFrame([(g.source, g.share, g.most, dual[g.source][0] if g.source in dual else None) for g in wanted], "source string, target_share double, max_repeats bigint, tilt double")
     have = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("source_tokens"))
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
     joined = plan.join(have, "source", "left").join(got, "source", "left")
-    every = Window.partitionBy()
+    whole = got.agg(F.greatest(F.coalesce(F.sum("mix_tokens"), F.lit(1)), F.lit(1)).alias("all_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    report = joined.select("source", "target_share", "max_repeats", F.round("rate", 6).alias("rate"), zero("docs"), zero("source_tokens"), zero("mix_tokens"), zero("most_copies"))
-    report = report.withColumn("reached_share", F.round(F.col("mix_tokens") / F.greatest(F.sum("mix_tokens").over(every), F.lit(1)), 6))
+    report = joined.select("source", "target_share", "max_repeats", F.round("tilt", 6).alias("tilt"), zero("docs"), zero("source_tokens"), zero("mix_tokens"), zero("most_copies"))
+    report = report.withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one").drop("one").withColumn("reached_share", F.round(F.col("mix_tokens") / F.col("all_tokens"), 6)).drop("all_tokens")
     return used.where("copies > 0"), report

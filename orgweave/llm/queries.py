@@ -42,9 +42,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct affiliation text whose consistent form differs from what was typed."""
-    rows = table(spark, d, "item").select(F.col("raw_affiliation").alias("text")).where("text IS NOT NULL").distinct()
-    return lookalike.normalised(rows, "text").where(F.col("form") != F.col("text")).select("text", "form")
+    """Every distinct affiliation text and candidate name whose consistent form differs from what was typed."""
+    items = table(spark, d, "item").select(F.lit("item").alias("kind"), F.col("raw_affiliation").alias("text"))
+    names = table(spark, d, "proposal").select(F.explode("candidates.name").alias("text")).select(F.lit("candidate").alias("kind"), "text")
+    rows = items.unionByName(names).where("text IS NOT NULL").distinct()
+    return lookalike.normalised(rows, "text").where(F.col("form") != F.col("text")).select("kind", "text", "form")
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: every item whose text has a look-alike, with the consistent form of its class."""
+    return lookalike.lookalike_classes(table(spark, d, "item"), "item_id", "raw_affiliation")[1].select(F.col("k").alias("item_id"), "form")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,12 +105,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents per source and level."""
-    sources = table(spark, d, "documents").select("doc_id", F.coalesce(mixing.source_name(F.col("source")), F.lit("")).alias("source")).dropDuplicates(["doc_id"])
+    sources = table(spark, d, "documents").select("doc_id", F.coalesce(mixing.source_name(F.col("source")), F.lit("")).alias("source")).groupBy("doc_id").agg(F.min("source").alias("source"))
     return _levels(spark, d).join(sources, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("docs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p5_found, p5_sample, p5_report, p6_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p4_classes, p5_found, p5_sample, p5_report, p6_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_profile)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -91,8 +91,8 @@ def test_lookalike_pairs(spark):
 
 
 def test_consistent_form_picks_the_token_script(spark):
-    df = spark.createDataFrame([("Universitу of Oxfоrd",), ("Мoсквa",), ("СО in Rome",), ("СО в Риме",)], "t string")
-    assert [r.form for r in lookalike.normalised(df.coalesce(1), "t").orderBy("t").collect()] == [r for _, r in sorted([("Universitу of Oxfоrd", "University of Oxford"), ("Мoсквa", "Москва"), ("СО in Rome", "CO in Rome"), ("СО в Риме", "СО в Риме")])]
+    df = spark.createDataFrame([("Universitу of Oxfоrd",), ("Мoсквa",), ("СО in Rome",), ("СО в Риме",), ("CО в Риме",), ("ΟXΕ Αθήνα",), ("ᎪᏴᎬ Lab",), ("Օxford",), ("𝐎𝐱𝐟𝐨𝐫𝐝 Рhysics",), ("Жaba",)], "t string")
+    assert [r.form for r in lookalike.normalised(df.coalesce(1), "t").orderBy("t").collect()] == [r for _, r in sorted([("Universitу of Oxfоrd", "University of Oxford"), ("Мoсквa", "Москва"), ("СО in Rome", "CO in Rome"), ("СО в Риме", "СО в Риме"), ("CО в Риме", "СО в Риме"), ("ΟXΕ Αθήνα", "ΟΧΕ Αθήνα"), ("ᎪᏴᎬ Lab", "ABE Lab"), ("Օxford", "Oxford"), ("𝐎𝐱𝐟𝐨𝐫𝐝 Рhysics", "Oxford Physics"), ("Жaba", "Жaba")])]
 
 
 # --- quotas ------------------------------------------------------------------------------------
@@ -296,7 +296,7 @@ def test_mix_follows_targets_within_caps(spark):
     caps = {"a": 2, "b": 4, "c": 3}
     assert all(1 <= x["copies"] <= caps[x["source"]] for x in rows)
     rep = {x.source: x for x in report.collect()}
-    assert rep["c"].rate == 3.0 and rep["c"].mix_tokens == 3 * rep["c"].source_tokens and rep["none"].mix_tokens == 0
+    assert rep["c"].tilt == math.inf and rep["c"].mix_tokens == 3 * rep["c"].source_tokens and rep["none"].mix_tokens == 0
     assert rep["a"].mix_tokens / rep["b"].mix_tokens == pytest.approx(5 / 3, rel=0.03)
     got = Counter()
     for x in rows:
@@ -306,11 +306,37 @@ def test_mix_follows_targets_within_caps(spark):
     assert mixing.mix(d.limit(0), w)[0].count() == 0
 
 
-def test_newton_solves_the_dual(spark):
+@pytest.mark.parametrize(("total", "most"), [(1000.0, 9), (90.0, 9), (700.0, 2), (799.0, 2), (800.0, 2), (5000.0, 2)])
+def test_newton_solves_the_dual(spark, total, most):
     rows = [(i, "s", 1 + i % 7) for i in range(100)]
-    dual = mixing.balance(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), [mixing.Goal("s", 1.0, 9)], total=1000.0)
-    a, b, m = dual["s"]
-    assert sum(math.exp(a + b * t / m) * t for _, _, t in rows) == pytest.approx(1000, rel=1e-5)
+    have = sum(t for _, _, t in rows)
+    dual = mixing.balance(mixing.lengths(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")), [mixing.Goal("s", 1.0, most)], total=total)
+    lam, m, cap = dual["s"]
+    rates = {t: min(cap, math.exp(min(50, lam * t / m))) for t in range(1, 8)}
+    assert sum(rates[t] * t for _, _, t in rows) == pytest.approx(min(total, most * have), rel=1e-6)
+    if most * have > total:
+        assert abs(lam) > 1e-3 and len(set(rates.values())) > 1  # the tilt tells documents of one source apart
+        # Least entropy: no shift between two lengths that keeps the tokens is better.
+        entropy = lambda r: sum(r[t] * math.log(r[t]) - r[t] for _, _, t in rows)
+        of = Counter(t for _, _, t in rows)
+        for a, b in itertools.permutations(range(1, 8), 2):
+            moved = dict(rates)
+            moved[a] += 1e-4 / of[a] / a
+            moved[b] -= 1e-4 / of[b] / b
+            if moved[a] <= cap and moved[b] > 0:
+                assert entropy(moved) >= entropy(rates) - 1e-9
+
+
+def test_sources_of_the_test_tables_reach_their_targets(spark):
+    d = "/root/testdata/sf0.01"
+    _, report = mixing.mix(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/source_weight.parquet"))
+    rows = [r.asDict() for r in report.collect()]
+    live = {r["source"]: r for r in rows if r["source_tokens"]}
+    total = sum(r["source_tokens"] for r in live.values())
+    aim = mixing.targets({s: r["source_tokens"] for s, r in live.items()}, [mixing.Goal(r["source"], r["target_share"], r["max_repeats"]) for r in rows], None)
+    assert sum(aim.values()) == pytest.approx(total, rel=1e-9) or all(aim[s] == r["max_repeats"] * r["source_tokens"] for s, r in live.items())
+    for s, r in live.items():
+        assert r["most_copies"] <= r["max_repeats"] and abs(r["mix_tokens"] - aim[s]) <= 0.01 * aim[s] + 2_000
 
 
 # --- reading level -----------------------------------------------------------------------------
