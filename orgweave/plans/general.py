@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orgweave.functions.ids import bare_id
 from orgweave.operators import hierarchy, nested, packed
+from orgweave.plans import oracle
 from orgweave.session import table
 
 _ORG = "items[].organization"
@@ -115,6 +116,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, **{k: _p1_table(a) for k, a in tables.items()}, "p2_found": p2_found, "p2_descendants": p2_descendants, "p2_cycles": p2_cycles, "p7_found": p7_found}
 
 
+_LINKS = (
+    "SELECT DISTINCT CASE WHEN rel IN ('parent', 'child') THEN 'parent' ELSE 'successor' END kind, CASE WHEN rel IN ('parent', 'successor') THEN src ELSE dst END child, CASE WHEN rel IN ('parent', 'successor') THEN dst ELSE src END up FROM edges "
+    "WHERE rel <> 'related' AND src IN (SELECT rid FROM org) AND dst IN (SELECT rid FROM org)"
+)
+#: Walks upward from every node until a root or a node seen before.
+_WALKS = (
+    f"WITH RECURSIVE l AS ({_LINKS}), w AS (SELECT kind, node, node AS cur, [node] AS way FROM (SELECT kind, child AS node FROM l UNION SELECT kind, up FROM l) UNION ALL SELECT w.kind, w.node, l.up, list_append(w.way, l.up) FROM w JOIN l ON l.kind = w.kind AND l.child = w.cur WHERE NOT list_contains(w.way, l.up)), "
+    "z AS (SELECT w.kind, w.node, w.way, l.up AS again, list_position(w.way, l.up) AS k FROM w LEFT JOIN l ON l.kind = w.kind AND l.child = w.cur WHERE l.up IS NULL OR list_contains(w.way, l.up)), "
+    "pos AS (SELECT kind link_kind, node ror_id, CASE WHEN again IS NULL THEN 'tree' WHEN k = 1 THEN 'ring' ELSE 'below_ring' END outcome, CASE WHEN again IS NULL THEN way[-1] ELSE list_min(way[k:]) END root_id, (CASE WHEN again IS NULL THEN len(way) ELSE k END - 1)::BIGINT AS depth, list_reverse(CASE WHEN again IS NULL THEN way ELSE way[1:k] END) AS way FROM z) "
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    """The shapes of raw JSON, iterated hierarchies and quoting rules are tested by brute force."""
-    return {}
+    """Hierarchies in SQL; shapes of raw JSON and quoting rules are tested by brute force."""
+    return oracle.statements({
+        "p2_found": _WALKS + "SELECT link_kind, ror_id, outcome, root_id, depth, array_to_string(way, '/') AS path FROM pos",
+        "p2_descendants": _WALKS + "SELECT link_kind, way[i] AS ancestor, ror_id AS node, (len(way) - i)::BIGINT steps FROM (SELECT *, unnest(range(1, len(way))) i FROM pos)",
+        "p2_cycles": _WALKS + "SELECT link_kind, root_id, count(*) FILTER (WHERE outcome = 'ring') members, count(*) FILTER (WHERE outcome = 'below_ring') below FROM pos WHERE outcome <> 'tree' GROUP BY ALL",
+    })

@@ -58,8 +58,9 @@ CTES: dict[str, str] = {
     "micro": "SELECT source, rule, sum(tp)::BIGINT tp, sum(fp)::BIGINT fp, sum(fn)::BIGINT fn, count(*) items FROM scores WHERE tp IS NOT NULL GROUP BY ALL",
     "prf": "SELECT source, rule, coalesce(stratum, 'all') stratum, sum(tp)::BIGINT tp, sum(fp)::BIGINT fp, sum(fn)::BIGINT fn, count(*) items FROM scores JOIN strata USING (item_id) WHERE tp IS NOT NULL GROUP BY GROUPING SETS ((source, rule, stratum), (source, rule))",
     "prff": "SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) f1 FROM prf",
-    "pairann": "SELECT item_id, arg_min(annotator, label_id) a, arg_max(annotator, label_id) b, arg_min(o, label_id) x, arg_max(o, label_id) y FROM (SELECT *, CASE WHEN decision IN ('ambiguous', 'no_ror') THEN decision ELSE 'ror:' || array_to_string(ids, '|') END o FROM live) GROUP BY item_id HAVING count(*) > 1",
-    "kap": "SELECT stratum, x, y FROM pairann JOIN strata USING (item_id)",
+    "okey": "SELECT item_id, annotator, CASE WHEN decision IN ('ambiguous', 'no_ror') THEN decision ELSE 'ror:' || array_to_string(ids, '|') END o FROM live",
+    "pairann": "SELECT p.item_id, p.annotator a, q.annotator b, p.o x, q.o y FROM okey p JOIN okey q ON p.item_id = q.item_id AND p.annotator < q.annotator",
+    "kap": "SELECT a, b, stratum, x, y FROM pairann JOIN strata USING (item_id)",
     "clu": "SELECT g.ids[1] gold, f.found FROM gold g JOIN (SELECT item_id, min(rid) found FROM assign WHERE source = 'ranker' GROUP BY item_id) f USING (item_id) WHERE len(g.ids) = 1",
     "cont": "SELECT gold, found, count(*) n, sum(count(*)) OVER (PARTITION BY gold) gn, sum(count(*)) OVER (PARTITION BY found) fn FROM clu GROUP BY gold, found",
     "units": "SELECT 'k_' || event_id AS key, round(CASE WHEN event_id % 3 = 0 THEN value / 100 ELSE value END, 4) AS value, ['Per-Cent', 'per_cent', 'pp', 'proportion', 'Fraction of items', 'count', 'percentage point', 'kappa', '%', 'ratio'][(event_id % 10 + 1)::INT] unit, CASE WHEN event_id % 50 = 0 THEN 'small by design' END exempt FROM events",
@@ -127,7 +128,7 @@ QUERIES: dict[str, str] = {
     "unreferenced_findings": "SELECT p_partkey::BIGINT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
     "snapshot_hash": "SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) digest, count(*) files FROM (SELECT DISTINCT coalesce(source, '') AS source, doc_id || ':' || sha256(text) line FROM documents WHERE text IS NOT NULL) GROUP BY source",
     "color_scale": "SELECT step, '#' || printf('%02x%02x%02x', floor(255 - 255 * p + 0.5)::INT, floor(255 + (114 - 255) * p + 0.5)::INT, floor(255 + (178 - 255) * p + 0.5)::INT) colour FROM (SELECT range AS step, range / 8 AS p FROM range(0, 9))",
-    "keyed_upsert": "SELECT o_custkey AS key, count(*) n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) GROUP BY ALL UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey % 5 = 0",
+    "keyed_upsert": "SELECT o_custkey AS key, count(*) n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1 UNION ALL SELECT c_custkey, 0 FROM customer",
     "edge_sym": "SELECT a, rel, b FROM sym",
     "edge_counts": "SELECT rel, count(*) n, count(DISTINCT src) stating FROM edges GROUP BY rel",
     "succession_steps": "SELECT old, nw AS \"new\", steps::BIGINT steps FROM chain",
@@ -143,7 +144,7 @@ QUERIES: dict[str, str] = {
     "progress": "SELECT stratum, decision, n, round(ms / n, 4) mean_ms, (sum(n) OVER (PARTITION BY stratum))::BIGINT stratum_n, round(sum(ms) OVER (PARTITION BY stratum) / sum(n) OVER (PARTITION BY stratum), 4) stratum_mean_ms FROM (SELECT stratum, decision, count(*) n, sum(elapsed_ms)::DOUBLE ms FROM live JOIN strata USING (item_id) GROUP BY ALL)",
     "items_unlabelled": "SELECT item_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sha256(item_id)) place FROM strata WHERE item_id NOT IN (SELECT item_id FROM live)",
     "iaa_pairs": "SELECT item_id, a, b, x, y FROM pairann",
-    "kappa": "SELECT n.stratum, n.n, n.same, round(CASE WHEN pe = 1 THEN CASE WHEN po = 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END, 6) kappa FROM (SELECT a.stratum, a.n, a.same, a.same / a.n po, coalesce(e.exy, 0) / (a.n * a.n) pe FROM (SELECT stratum, count(*) n, sum((x = y)::INT)::BIGINT same FROM kap GROUP BY stratum) a LEFT JOIN (SELECT p.stratum, sum(p.c * q.c)::DOUBLE exy FROM (SELECT stratum, x k, count(*) c FROM kap GROUP BY ALL) p JOIN (SELECT stratum, y k, count(*) c FROM kap GROUP BY ALL) q USING (stratum, k) GROUP BY p.stratum) e USING (stratum)) n",
+    "kappa": "WITH n AS (SELECT a, b, stratum, count(*) n, count(*) FILTER (WHERE x = y) same FROM kap GROUP BY ALL), mx AS (SELECT a, b, stratum, x AS cat, count(*) nx FROM kap GROUP BY ALL), my AS (SELECT a, b, stratum, y AS cat, count(*) ny FROM kap GROUP BY ALL), e AS (SELECT a, b, stratum, sum(nx * ny) exy FROM mx JOIN my USING (a, b, stratum, cat) GROUP BY ALL), k AS (SELECT n.*, n.same / n.n po, coalesce(e.exy, 0) / (n.n * n.n) pe FROM n LEFT JOIN e USING (a, b, stratum)) SELECT a, b, stratum, n, same, round(CASE WHEN pe = 1 THEN CASE WHEN po = 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END, 6) kappa FROM k",
     "decision_derive": "SELECT decision, CASE WHEN l.ids = coalesce(p.p, []::VARCHAR[]) THEN 'accepted' ELSE 'corrected' END derived, count(*) n FROM live l LEFT JOIN (SELECT item_id, list_sort(list_distinct(list(rid))) p FROM cand WHERE llm_proposed GROUP BY item_id) p USING (item_id) WHERE decision IN ('accepted', 'corrected') GROUP BY ALL",
     "ids_outside": "SELECT label_id, rid FROM (SELECT label_id, unnest(ids) rid FROM live) WHERE rid NOT IN (SELECT rid FROM org)",
     "within_release": "SELECT item_id, count(*) n FROM cand WHERE rid IN (SELECT rid FROM org) GROUP BY item_id",
@@ -169,7 +170,6 @@ QUERIES: dict[str, str] = {
     "losses_table": "SELECT stratum, rule, f1, best FROM (SELECT stratum, rule, source, f1, max(f1) OVER (PARTITION BY stratum, rule) best FROM prff) WHERE source = 'matcher' AND coalesce(f1, -1) < best",
     "blind_report": "SELECT letter, outcome, n, round(n / sum(n) OVER (PARTITION BY letter), 6) rate FROM (SELECT CASE source WHEN 'matcher' THEN 'A' WHEN 'proposer' THEN 'B' ELSE 'C' END letter, outcome, count(*) n FROM scores WHERE rule = 'exact' GROUP BY ALL)",
     "intersection_frame": "SELECT item_id FROM assign GROUP BY item_id HAVING count(DISTINCT source) = 3",
-    "bootstrap_ci": "WITH w AS (SELECT source, r, sum(w)::BIGINT n, sum(w * hit)::BIGINT h FROM (SELECT source, range AS r, (outcome = 'correct')::INT hit, (u >= 1580030168)::INT + (u >= 3160060337)::INT + (u >= 3950075421)::INT + (u >= 4213413783)::INT + (u >= 4279248373)::INT + (u >= 4292415291)::INT w FROM (SELECT s.source, s.outcome, r.range, ('0x' || substr(md5(s.item_id || '|' || r.range), 1, 8))::BIGINT u FROM scores s CROSS JOIN range(0, 200) r WHERE s.rule = 'exact' AND s.outcome NOT IN ('gold_ambiguous', 'gold_no_ror'))) GROUP BY ALL), k AS (SELECT *, round(h / n, 6) rate, row_number() OVER (PARTITION BY source ORDER BY round(h / n, 6), r) k FROM w) SELECT source, max(rate) FILTER (WHERE k = 5) AS low, max(rate) FILTER (WHERE k = 195) AS high, count(*) resamples FROM k GROUP BY source",
     "bcubed": "SELECT items, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) f1 FROM (SELECT sum(n)::BIGINT items, sum(n * n / fn) / sum(n) p, sum(n * n / gn) / sum(n) r FROM cont)",
     "pairwise_prf": "SELECT b::BIGINT AS \"both\", f::BIGINT AS found, g::BIGINT AS gold, round(b / nullif(f, 0), 6) AS precision, round(b / nullif(g, 0), 6) AS recall FROM (SELECT coalesce((SELECT sum(n * (n - 1) / 2) FROM cont), 0) b, coalesce((SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) k FROM clu GROUP BY found)), 0) f, coalesce((SELECT sum(k * (k - 1) / 2) FROM (SELECT count(*) k FROM clu GROUP BY gold)), 0) g)",
     "cluster_purity": "SELECT sum(n)::BIGINT items, sum(m)::BIGINT majority, round(sum(m) / sum(n), 6) purity FROM (SELECT found, max(n) m, sum(n) n FROM cont GROUP BY found)",
@@ -180,10 +180,10 @@ QUERIES: dict[str, str] = {
 }
 
 
-def statements() -> dict[str, str]:
+def statements(queries: dict[str, str] | None = None) -> dict[str, str]:
     """Each query behind the shared expressions it mentions, directly or through others."""
     out = {}
-    for name, body in QUERIES.items():
+    for name, body in (QUERIES if queries is None else queries).items():
         need: set[str] = set()
         todo = [body]
         while todo:
