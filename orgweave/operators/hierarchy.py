@@ -38,16 +38,17 @@ def trees_and_rings(links: DataFrame, cut_every: int = 16) -> DataFrame:
 
     ``links`` (child, up): at most one distinct upward neighbour per child; rows with a NULL
     end drop out, repeated rows count once, extra columns are ignored.  Should a child have
-    several upward neighbours, the smallest one counts.  An empty table gives no rows.
+    several upward neighbours, the smallest one counts and :func:`further_links` reports the others.  An
+    empty table gives no rows.
 
     Returns one row per node: (node, outcome, root, depth, path) with outcome ``tree``,
     ``ring`` (also a link to itself) or ``below_ring``, as the module text says.  Ids stay
     text; every step is an equi-join on a node id, whose skew AQE splits, and a parent with
     very many children is a row on the frontier's side, never a gathered list.
     """
-    one = links.where("child IS NOT NULL AND up IS NOT NULL").groupBy("child").agg(F.min("up").alias("up"))
-    one = cut(one)
-    nodes = one.select(F.col("child").alias("node")).union(one.select("up")).distinct()
+    known = cut(links.where("child IS NOT NULL AND up IS NOT NULL").select("child", "up").distinct())
+    one = cut(known.groupBy("child").agg(F.min("up").alias("up")))
+    nodes = known.select(F.col("child").alias("node")).union(known.select("up")).distinct()
     roots = nodes.join(one.select(F.col("child").alias("node")), "node", "left_anti")
     start = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.col("node").alias("path"))
     trees = cut(_levels(start, one, cut_every))
@@ -70,6 +71,12 @@ def trees_and_rings(links: DataFrame, cut_every: int = 16) -> DataFrame:
     return tree_rows.unionByName(ring_rows).unionByName(below_rows)
 
 
+def further_links(links: DataFrame) -> DataFrame:
+    """(child, up) of the links that a forest has no room for: all upward neighbours of a child but its smallest."""
+    known = links.where("child IS NOT NULL AND up IS NOT NULL").select("child", "up").distinct()
+    return known.join(known.groupBy("child").agg(F.min("up").alias("first")), "child").where("up <> first").select("child", "up")
+
+
 def ancestor_pairs(positions: DataFrame) -> DataFrame:
     """(ancestor, node, steps) for every tree or below-ring node, read off its path.
 

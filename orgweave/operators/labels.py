@@ -17,8 +17,10 @@ def undone(labels: DataFrame, n: int = 1) -> DataFrame:
     A row that was replaced before does not come back: only the newest row of an
     (item, annotator) can be live, and a taken-back one is not.
     """
+    # The limit on the rank reaches the map side, so no annotator's rows are sorted in one task.
     newest = Window.partitionBy("annotator").orderBy(F.col("label_id").desc())
-    return labels.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") > n).drop("_k")
+    taken = labels.select("annotator", "label_id").withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= n)
+    return labels.join(taken.drop("_k"), ["annotator", "label_id"], "left_anti")
 
 
 def annotator_pairs(live: DataFrame) -> DataFrame:

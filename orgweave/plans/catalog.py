@@ -49,7 +49,7 @@ def org_load(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def org_lookup(s: SparkSession, d: str) -> DataFrame:
-    """Records whose identifiers the newest tenth of all response rows mention: a keyed lookup by semi join."""
+    """Records whose identifiers any response mentions: a keyed lookup by semi join."""
     wanted = table(s, d, "matcher_response").select(F.explode("items").alias("i")).select(I.bare_id(F.col("i.organization.id")).alias("rid")).where("rid IS NOT NULL").distinct()
     return V.org(s, d).join(wanted, "rid", "left_semi").select("rid", "name", "status")
 
@@ -146,8 +146,8 @@ def redact_many(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def contains_norm(s: SparkSession, d: str) -> DataFrame:
-    """Items whose affiliation holds the city of their proposal's first candidate, accents and case apart."""
-    c = V.candidates(s, d).where("rank = 1 AND city IS NOT NULL").select("item_id", "city")
+    """Items and whether their affiliation holds the city of each candidate, accents and case apart."""
+    c = V.candidates(s, d).where("city IS NOT NULL").select("item_id", "city").distinct()
     r = table(s, d, "item").where("item_id IS NOT NULL AND raw_affiliation IS NOT NULL").select("item_id", "raw_affiliation").distinct().join(c, "item_id")
     return r.select("item_id", "city", X.contains_folded(F.col("raw_affiliation"), F.col("city")).alias("hit"))
 
@@ -159,9 +159,9 @@ def stratum_route(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentences(s: SparkSession, d: str) -> DataFrame:
-    paras = table(s, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("para", "p"))
-    sents = paras.select("doc_id", "para", F.posexplode(F.split("p", r"(?<=[.!?])\s")).alias("sent", "t"))
-    lead = F.regexp_replace(F.trim("t"), r"^(?:#{1,6}\s+|[-*+]\s+|\d+\.\s+|>\s*)+", "")
+    paras = table(s, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", X.PARAGRAPH)).alias("para", "p"))
+    sents = paras.select("doc_id", "para", F.posexplode(F.split("p", X.SENTENCE)).alias("sent", "t"))
+    lead = F.regexp_replace(F.trim("t"), X.LEAD, "")
     flat = F.trim(F.regexp_replace(lead, r"\s+", " "))
     return sents.select("doc_id", F.col("para").cast("bigint").alias("para"), F.col("sent").cast("bigint").alias("sent"), F.md5(flat).alias("md5"), F.length(flat).cast("bigint").alias("len")).where("len > 0")
 
@@ -169,7 +169,7 @@ def sentences(s: SparkSession, d: str) -> DataFrame:
 @query
 def digit_lint(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", X.typed_digits(F.col("text")).alias("t"))
-    return r.select("doc_id", F.size("t").cast("bigint").alias("n"), F.try_element_at("t", F.lit(1)).alias("first")).where("n > 0")
+    return r.select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_join("t", " ").alias("tokens")).where("n > 0")
 
 
 @query

@@ -106,6 +106,13 @@ def p2_cycles(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.substring_index("root", ":", 1).alias("link_kind"), F.substring_index("root", ":", -1).alias("root_id"), "members", "below")
 
 
+def p2_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Links beyond a child's first upward neighbour of a kind, which no tree holds."""
+    tagged = recorded_links(spark, d).select("link_kind", F.concat_ws(":", "link_kind", "child").alias("child"), F.concat_ws(":", "link_kind", "up").alias("up"))
+    bare = lambda c: F.substring_index(c, ":", -1)
+    return hierarchy.further_links(tagged).select(F.substring_index("child", ":", 1).alias("link_kind"), bare(F.col("child")).alias("ror_id"), bare(F.col("up")).alias("up"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "item").where("item_id IS NOT NULL AND raw_affiliation IS NOT NULL").select("item_id", "raw_affiliation")
     return packed.explode_packed(items, "item_id", "raw_affiliation").distinct()
@@ -113,7 +120,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     tables = {"p1_items": "items[]", "p1_names": f"{_ORG}.names[]", "p1_name_types": f"{_ORG}.names[].types[]", "p1_external_ids": f"{_ORG}.external_ids[]", "p1_external_id_values": f"{_ORG}.external_ids[].all[]", "p1_locations": f"{_ORG}.locations[]", "p1_relationships": f"{_ORG}.relationships[]"}
-    return {"p1_found": p1_found, **{k: _p1_table(a) for k, a in tables.items()}, "p2_found": p2_found, "p2_descendants": p2_descendants, "p2_cycles": p2_cycles, "p7_found": p7_found}
+    return {"p1_found": p1_found, **{k: _p1_table(a) for k, a in tables.items()}, "p2_found": p2_found, "p2_descendants": p2_descendants, "p2_cycles": p2_cycles, "p2_conflicts": p2_conflicts, "p7_found": p7_found}
 
 
 _LINKS = (

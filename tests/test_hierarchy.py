@@ -65,3 +65,9 @@ def test_descendants_and_cycles(spark):
     assert {tuple(r) for r in hierarchy.ancestor_pairs(pos).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("x", "z", 1)}
     assert [tuple(r) for r in hierarchy.cycle_report(pos).collect()] == [("x", 2, 1)]
     assert {r.node: r.descendants for r in hierarchy.descendant_counts(pos).collect()} == {"a": 2, "b": 1, "c": 0, "x": 1, "y": 0, "z": 0}
+
+
+def test_a_child_with_several_parents_keeps_one_and_reports_the_rest(spark):
+    links = spark.createDataFrame([("c", "a"), ("c", "b"), ("c", "b"), ("d", "c"), ("e", None)], "child string, up string")
+    assert {(r.node, r.path) for r in hierarchy.trees_and_rings(links).collect()} == {("a", "a"), ("b", "b"), ("c", "a/c"), ("d", "a/c/d")}
+    assert [tuple(r) for r in hierarchy.further_links(links).collect()] == [("c", "b")]
