@@ -113,5 +113,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p3_found, p3_agreement, p3_reliability, p4_found, p4_forms, p4_classes, p5_found, p5_sample, p5_report, p6_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_profile)}
 
 
+def _category(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '^\\s+|\\s+$', '', 'g'), '[\\s_\\-]+', '_', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Shortfalls in SQL; all else is iterative, fitted or text of many scripts, and tested by brute force."""
+    cells = "SELECT DISTINCT stratum, coalesce(sub_stratum, '') sub_stratum, target_rows, " + f"{_category('stratum')} st, coalesce({_category('sub_stratum')}, '') sub FROM strata_target"
+    usable = f"SELECT DISTINCT item_id, {_category('stratum')} st, coalesce({_category('sub_stratum')}, '') sub FROM item WHERE item_id IS NOT NULL AND NOT coalesce(demo, false) AND stratum IS NOT NULL"
+    return {
+        "p5_found": f"WITH c AS ({cells}), u AS ({usable}), n AS (SELECT c.stratum, c.sub_stratum, c.target_rows, count(DISTINCT u.item_id) n FROM c LEFT JOIN u ON u.st = c.st AND (c.sub = '' OR u.sub = c.sub) GROUP BY ALL) SELECT stratum, sub_stratum, (target_rows - n)::BIGINT shortfall FROM n WHERE n < target_rows"
+    }
