@@ -293,7 +293,8 @@ def verify(ids: np.ndarray, hits: dict[int, list[tuple[int, int, int]]], items:
     for i, matched, span, _, _ in claims(ids, hits, items, least):
         best[i] = max(best.get(i, (0, 0)), (matched, span))
     for i, spots in hits.items():
-        if i not in best and len({d + k for d, _, m in spots for k in _KEPT[m]}) >= 0.8 * alone:
+        # An unbroken run has a seed of each mask at almost every word, all at one offset.
+        if i not in best and len(spots) >= alone and Counter([d - p for d, p, _ in spots]).most_common(1)[0][1] >= alone:
             a, b = min(d for d, _, _ in spots), max(d for d, _, _ in spots)
             places, span = align(ids[max(0, a - alone) : b + 2 * alone], items[i])
             if len(places) >= alone and len(places) >= 0.85 * max(span, places[0] - places[-1] + 1):

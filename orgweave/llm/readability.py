@@ -81,16 +81,22 @@ def text_units(text: str) -> list[tuple[str, bool]]:
     return units
 
 
+def shared_spots(ids: np.ndarray, foreign: leakage.TestSide) -> Iterator[tuple[int, int]]:
+    """(place, length) of the shared sentences of the foreign side that open alike and mostly agree."""
+    for phrase in foreign.phrases:
+        n = len(phrase)
+        for k in np.flatnonzero(ids[: max(0, len(ids) - n + 1)] == phrase[0]):
+            if (ids[k : k + n] == phrase).mean() > 0.8:
+                yield int(k), n
+
+
 def own_units(units: list[tuple[str, bool]], parts: list[list[str]], ids: np.ndarray, hits: dict, foreign: leakage.TestSide, least: int = 10) -> list[tuple[str, bool]]:
     """The units that do not mostly repeat passages or shared sentences of the foreign side."""
     taken = np.zeros(len(ids), bool)
     for _, _, _, first, last in leakage.claims(ids, hits, foreign.items, least):
         taken[first : last + 1] = True
-    for phrase in foreign.phrases:
-        n = len(phrase)
-        for k in np.flatnonzero(ids[: max(0, len(ids) - n + 1)] == phrase[0]):
-            if (ids[k : k + n] == phrase).mean() > 0.8:
-                taken[k : k + n] = True
+    for k, n in shared_spots(ids, foreign):
+        taken[k : k + n] = True
     ends = np.cumsum([len(p) for p in parts])
     return [u for u, e, p in zip(units, ends, parts) if not p or taken[e - len(p) : e].mean() < 0.5]
 
@@ -98,8 +104,7 @@ def own_units(units: list[tuple[str, bool]], parts: list[list[str]], ids: np.nda
 def own_batch(texts: list[str], foreign: list[leakage.TestSide | None]) -> list[list[tuple[str, bool]]]:
     """Own units of each text; seeds of texts with one foreign side are looked up in one run.
 
-    Only texts in which a seed or the first word of a shared sentence turns up are taken apart
-    word by word.
+    Only texts in which seeds or a shared sentence turn up are taken apart sentence by sentence.
     """
     units = [text_units(t) for t in texts]
     sides: dict[int, list[int]] = {}
@@ -108,10 +113,9 @@ def own_batch(texts: list[str], foreign: list[leakage.TestSide | None]) -> list[
             sides.setdefault(id(f), []).append(k)
     for ks in sides.values():
         side = foreign[ks[0]]
-        opening = np.array(sorted({int(p[0]) for p in side.phrases}), np.int64)
         ids = [leakage.doc_ids(leakage.words(texts[k]), side.vocabulary) for k in ks]
         met = {i for i, _ in leakage.batch_hits(ids, side)}
-        met |= {i for i, x in enumerate(ids) if len(opening) and np.isin(x, opening).any()}
+        met |= {i for i, x in enumerate(ids) if next(shared_spots(x, side), None)}
         some = sorted(met)
         parts = [[leakage.words(s) for s, _ in units[ks[i]]] for i in some]
         ids = [leakage.doc_ids([w for p in ps for w in p], side.vocabulary) for ps in parts]
