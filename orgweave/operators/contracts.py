@@ -52,4 +52,4 @@ def claims(drafts: DataFrame, findings: DataFrame) -> DataFrame:
     flat = F.trim(F.regexp_replace("t", r"\s+", " "))
     short = F.when(F.length(flat) > 240, F.concat(F.rtrim(F.substring(flat, 1, 237)), F.lit("..."))).otherwise(flat)
     keys = sents.select("draft", "pos", F.replace(short, F.lit("|"), F.lit("\\|")).alias("sentence"), F.posexplode(F.regexp_extract_all("t", F.lit(PLACEHOLDER), F.lit(1))).alias("at", "key"))
-    return keys.join(findings.select("key", "value", "unit", "n", F.substring("source_snapshot", 1, 12).alias("snapshot"), "script"), "key", "left").select("draft", "pos", "at", "key", "value", "unit", "n", "snapshot", "script", "sentence")
+    return keys.join(findings.select("key", "value", "unit", "n", F.substring("source_snapshot", 1, 12).alias("snapshot"), F.col("computed_by").alias("script")), "key", "left").select("draft", "pos", "at", "key", "value", "unit", "n", "snapshot", "script", "sentence")

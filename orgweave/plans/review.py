@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from orgweave.operators import contracts
 from orgweave.plans import oracle
 from orgweave.plans import views as V
-from orgweave.session import cut, table
+from orgweave.session import table
+
+# A reply's code fence, a figure's name, what stands between and before the lines of context.
+FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+FIGURE_NAME = r"^[a-z0-9][a-z0-9-]*\z"
+BETWEEN, DOI, COAUTHOR = " · ", "doi: ", "co-author affiliation: "
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -95,9 +100,9 @@ def context_lines(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "item").where("item_id IS NOT NULL AND context IS NOT NULL").select("item_id", "context.*")
     year = F.when(F.col("year") != 0, F.col("year").cast("string"))
     there = lambda x: x.isNotNull() & (x != "")
-    header = F.array_join(F.filter(F.array("author_name", "title", "venue", year), there), " · ")
-    first = F.filter(F.array(header, F.when(F.col("doi") != "", F.concat(F.lit("doi: "), "doi"))), there)
-    others = F.transform(F.slice(F.coalesce("coauthor_affiliations", F.array().cast("array<string>")), 1, 3), lambda x: F.concat(F.lit("co-author affiliation: "), F.coalesce(x, F.lit("None"))))
+    header = F.array_join(F.filter(F.array("author_name", "title", "venue", year), there), BETWEEN)
+    first = F.filter(F.array(header, F.when(F.col("doi") != "", F.concat(F.lit(DOI), "doi"))), there)
+    others = F.transform(F.slice(F.coalesce("coauthor_affiliations", F.array().cast("array<string>")), 1, 3), lambda x: F.concat(F.lit(COAUTHOR), F.coalesce(x, F.lit("None"))))
     lines = F.concat(first, others)
     return c.select("item_id", F.md5(F.array_join(lines, "\n")).alias("md5"), F.size(lines).cast("bigint").alias("n")).distinct()
 
@@ -126,7 +131,7 @@ def html_escaped(s: SparkSession, d: str) -> DataFrame:
 def figure_ids(s: SparkSession, d: str) -> DataFrame:
     """Identity of a figure by name: lower-case letters, digits and hyphens only, as it becomes part of a path."""
     r = table(s, d, "documents").where("repo_key IS NOT NULL").select(F.col("repo_key").alias("name")).distinct()
-    valid = F.col("name").rlike(r"^[a-z0-9][a-z0-9-]*\z")
+    valid = F.col("name").rlike(FIGURE_NAME)
     return r.select("name", valid.alias("valid"), F.when(valid, F.concat(F.lit("figures/v1/"), "name")).alias("id"))
 
 
@@ -181,7 +186,7 @@ def _drafts(s: SparkSession, d: str) -> DataFrame:
 )
 def claims_rows(s: SparkSession, d: str) -> DataFrame:
     """The claims register: every placeholder of a draft in order, its finding, and the sentence that holds it."""
-    f = table(s, d, "events").select(F.concat(F.lit("k_"), F.col("event_id").cast("string")).alias("key"), F.round("value", 4).alias("value"), F.lit("ratio").alias("unit"), F.lit(1).cast("bigint").alias("n"), F.sha2("props", 256).alias("source_snapshot"), F.col("event_type").alias("script"))
+    f = table(s, d, "events").select(F.concat(F.lit("k_"), F.col("event_id").cast("string")).alias("key"), F.round("value", 4).alias("value"), F.lit("ratio").alias("unit"), F.lit(1).cast("bigint").alias("n"), F.sha2("props", 256).alias("source_snapshot"), F.col("event_type").alias("computed_by"))
     r = contracts.claims(_drafts(s, d), f)
     return r.select("draft", F.col("pos").cast("bigint").alias("pos"), F.col("at").cast("bigint").alias("at"), "key", "value", "unit", "n", "snapshot", "script", "sentence")
 
@@ -191,7 +196,7 @@ def claims_rows(s: SparkSession, d: str) -> DataFrame:
 
 def json_span(text: Column) -> Column:
     """The JSON object of a reply: what a code fence holds, else all between the outermost braces; NULL for none."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(text, FENCE, 1)
     body = F.when(fenced != "", fenced).otherwise(text)
     span = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
     return F.when(span != "", span)

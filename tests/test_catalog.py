@@ -8,8 +8,6 @@ from orgweave.plans import catalog, general, review
 
 ORACLE = {**catalog.oracle_sql(), **general.oracle_sql(), **review.oracle_sql()}
 QUERIES = {**catalog.queries(), **general.queries(), **review.queries()}
-#: The scoring queries share one pipeline; two of them stand for all here, the driver runs every one.
-SLOW = {"bipartite_match", "score_invariants", "micro_counts", "coverage", "outcome_rates", "stale_sensitivity", "rule_ranking", "losses_table", "blind_report", "rule_pairs", "stale_assigned", "relation_taxonomy", "ancestry_min", "pair_relations", "ancestry_hist"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +15,7 @@ def con(tiny):
     return compare.connect(tiny)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_oracle(spark, con, tiny, name):
     assert compare.differences(spark, con, QUERIES[name], ORACLE[name], tiny) == ""
 
